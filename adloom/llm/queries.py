@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import cooccurrence, packing, tokens
+from adloom.llm import cooccurrence, matching, packing, tokens
 from adloom.plans.registry import Catalogue
 from adloom.session import table
 
@@ -33,6 +33,21 @@ _PAIRS = r"""
 """
 
 
+def _entries(spark, sf_dir):
+    tables = ("jobs", "ref_locations", "ref_titles", "ref_countries", "ref_sources")
+    return matching.canonical_entries(*(table(spark, sf_dir, t) for t in tables))
+
+
+@catalogue.add("p3_found")
+def p3_found(spark, sf_dir):
+    return _entries(spark, sf_dir)
+
+
+@catalogue.add("p3_unmatched")
+def p3_unmatched(spark, sf_dir):
+    return matching.unmatched_report(_entries(spark, sf_dir), table(spark, sf_dir, "jobs"))
+
+
 @catalogue.add(
     "p5_found",
     _PAIRS
