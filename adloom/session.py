@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +27,43 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
 
 
+_LOCAL: list[str] = []
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one of this machine only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="adloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
     where that is unset (tests on one machine) a temporary one is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="adloom-checkpoint-"))
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once, as a table in the shared checkpoint folder, and read back.
+
+    For results that several branches of a plan use and that cost more to
+    compute than to read: columns are compressed, and later scans prune them.
+    """
+    folder = os.path.join(_shared_folder(df.sparkSession), f"adloom-{uuid.uuid4().hex}")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table as a DataFrame."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
