@@ -64,7 +64,7 @@ PLACE_LEADS = (r"located in", r"based in", r"office:?", r"location:?", r"greater
 def plain(c: Column) -> Column:
     """Lower case without marks, with single blanks."""
     low = F.translate(F.lower(c), _MARKED, _PLAIN)
-    low = F.regexp_replace(F.regexp_replace(low, "ß", "ss"), r"\bst\.? (?=\p{L})", "saint ")
+    low = F.regexp_replace(low, "ß", "ss")
     return F.trim(F.regexp_replace(low, r"[\s ]+", " "))
 
 
@@ -214,7 +214,11 @@ def entry_keys(locations: DataFrame, titles: DataFrame) -> DataFrame:
     """``(kind, key, entry_id, country, region)``: every spelling of every reference entry."""
     cities = locations.select(
         F.lit("location").alias("kind"),
-        F.explode(F.concat(F.array("city"), F.coalesce("aliases", F.array()))).alias("name"),
+        F.explode(
+            F.concat(
+                F.array("city", F.regexp_replace("city", r"\bSt\.? (?=\p{L})", "Saint ")), F.coalesce("aliases", F.array())
+            )
+        ).alias("name"),
         F.col("location_id").cast("long").alias("entry_id"),
         plain(F.col("country")).alias("country"),
         plain(F.col("region")).alias("region"),

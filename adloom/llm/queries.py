@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import cooccurrence, matching, packing, tokens
+from adloom.llm import boilerplate, cooccurrence, matching, packing, tokens
 from adloom.plans.registry import Catalogue
 from adloom.session import table
 
@@ -33,6 +33,12 @@ _PAIRS = r"""
 """
 
 
+@catalogue.add("p2_found")
+def p2_found(spark, sf_dir):
+    names = ("jobs", "extraction_results", "ref_locations", "ref_titles", "skills")
+    return boilerplate.boilerplate_pieces(*(table(spark, sf_dir, t) for t in names))
+
+
 def _entries(spark, sf_dir):
     tables = ("jobs", "ref_locations", "ref_titles", "ref_countries", "ref_sources")
     return matching.canonical_entries(*(table(spark, sf_dir, t) for t in tables))
