@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import boilerplate, cooccurrence, matching, packing, tokens
+from adloom.llm import boilerplate, cooccurrence, matching, packing, tokens, truncation
 from adloom.plans.registry import Catalogue
 from adloom.session import table
 
@@ -33,6 +33,18 @@ _PAIRS = r"""
 """
 
 
+@catalogue.add("p1_found")
+def p1_found(spark, sf_dir):
+    names = ("jobs", "ref_locations", "ref_titles", "skills")
+    return truncation.truncated_values(*(table(spark, sf_dir, t) for t in names))
+
+
+@catalogue.add("p1_report")
+def p1_report(spark, sf_dir):
+    names = ("jobs", "ref_locations", "ref_titles", "skills")
+    return truncation.truncation_report(*(table(spark, sf_dir, t) for t in names))
+
+
 @catalogue.add("p2_found")
 def p2_found(spark, sf_dir):
     names = ("jobs", "extraction_results", "ref_locations", "ref_titles", "skills")
