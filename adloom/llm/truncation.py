@@ -47,7 +47,7 @@ NEW = 0.012
 REACH = 12
 
 _LINE = re.compile(r"[\r\n]+")
-_STOP = re.compile(r"(?<=[a-zäöüß\d)][a-zäöüß\d)][.!?])\s+(?!\d)")
+_STOP = re.compile(r"(?<=[a-zäöüß\d)][a-zäöüß\d)][.!?])(?<![ (]no\.)(?<![ (]nr\.)(?<!Ref\.)(?<!Nr\.)\s+")
 # The beginning of a character entity: a transfer that broke off inside it.
 _BROKEN = re.compile(r"&(?:#x?\w*|a(?:mp?|po?s?)?|nb?s?p?|qu?o?t?|l[ts]?|gt?|nd?a?s?h?|md?a?s?h?|he?l?l?i?p?)$")
 _OMITTED = re.compile(r"\s*(?:\[\s*(?:…|\.\.\.)\s*\]|…|\.\.\.)\s*(?:mehr|more|read more|weiterlesen|lagi|baca lagi)?\s*$", re.I)
