@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import boilerplate, cooccurrence, matching, packing, tokens, truncation
+from adloom.llm import boilerplate, cooccurrence, matching, packing, personal, tokens, truncation
 from adloom.plans.registry import Catalogue
 from adloom.session import table
 
@@ -115,3 +115,13 @@ def p9_containers(spark, sf_dir):
 def p9_fill(spark, sf_dir):
     limits = table(spark, sf_dir, "pack_limits")
     return packing.fill_report(packing.packed(table(spark, sf_dir, "documents"), limits), limits)
+
+
+@catalogue.add("p10_found")
+def p10_found(spark, sf_dir):
+    return personal.personal_found(table(spark, sf_dir, "documents"))
+
+
+@catalogue.add("p10_texts")
+def p10_texts(spark, sf_dir):
+    return personal.readable_texts(table(spark, sf_dir, "documents"))
