@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("dealt",)
+_MODULES = ("dealt", "baskets", "markets", "role_time")
 
 
 def all_catalogues():
