@@ -57,12 +57,27 @@ def markets(jobs: DataFrame, countries: DataFrame, column: str = "country") -> D
     return jobs.join(names, F.lower(F.trim(ref(column))) == F.col("_said"), "left").drop("_said")
 
 
+#: Largest title list that is turned into a literal.
+TITLE_LIMIT = 20_000
+
+
 def role_aliases(titles: DataFrame) -> Column:
-    """All titles and aliases of the (small) title list as one array, longest first, for :func:`role_of`."""
-    rows = titles.select(
-        F.col("family").alias("role"), F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array()))).alias("_a")
-    ).select((-F.length("_a")).alias("k"), F.lower("_a").alias("alias"), "role")
-    return rows.agg(F.array_sort(F.collect_list(F.struct("k", "alias", "role")))).scalar()
+    """All titles and aliases of the title list (a dimension of checked size) as one literal, longest first."""
+    rows = (
+        titles.select(
+            F.col("family").alias("role"), F.explode(F.concat(F.array("title"), F.coalesce("aliases", F.array()))).alias("_a")
+        )
+        .select(F.lower("_a").alias("alias"), "role")
+        .distinct()
+        .limit(TITLE_LIMIT + 1)
+        .collect()
+    )
+    if len(rows) > TITLE_LIMIT:
+        raise ValueError(f"more than {TITLE_LIMIT} titles; give a smaller list")
+    ordered = sorted(((r.alias, r.role) for r in rows), key=lambda x: (-len(x[0]), *x))
+    if not ordered:
+        return F.array().cast("array<struct<alias: string, role: string>>")
+    return F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(r).alias("role")) for a, r in ordered))
 
 
 def role_of(title: Column, text: Column, aliases: Column) -> Column:

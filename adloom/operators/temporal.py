@@ -59,12 +59,14 @@ def trend_table(series: DataFrame, recent: int = 3) -> DataFrame:
     """
     x = _ordered(series)
     last = F.col("_back") <= recent
+    e4 = F.round(F.col("rate") * 10_000).cast("long")
     t = x.groupBy("skill").agg(
         F.count("*").alias("periods"),
         F.avg(F.when(last, F.col("rate"))).alias("_now"),
         F.avg(F.when(~last, F.col("rate"))).alias("_then"),
         F.coalesce(F.regr_slope("rate", "_i"), F.lit(0.0)).alias("_slope"),
-        F.stddev_pop("rate").alias("_dev"),
+        # Rates have four digits, so whole numbers keep the deviation exact in any order of summing.
+        (F.sqrt(F.count("*") * F.sum(e4 * e4) - F.sum(e4) * F.sum(e4)) / F.count("*") / 10_000).alias("_dev"),
         F.avg("rate").alias("_mean"),
         F.avg(F.when(last & F.col("_d").isNotNull(), (F.col("_d") > 0).cast("double"))).alias("_rises"),
         F.sum(F.when(~last, F.col("jobs")).otherwise(0)).alias("_before"),

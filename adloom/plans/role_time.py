@@ -124,7 +124,7 @@ def demand_zero_filled(spark, sf_dir):
 @catalogue.add(
     "trend_table",
     f"""WITH {FILLED}, t AS (SELECT skill, count(*) AS periods, avg(CASE WHEN back <= 3 THEN rate END) AS nw, avg(CASE WHEN back > 3 THEN rate END) AS th,
-      coalesce(CASE WHEN count(*) > 1 THEN regr_slope(rate, i) END, 0.0) AS sl, stddev_pop(rate) AS dv, avg(rate) AS mn,
+      coalesce(CASE WHEN count(*) > 1 THEN regr_slope(rate, i) END, 0.0) AS sl, sqrt(count(*) * sum(CAST(round(rate * 10000) AS BIGINT) * CAST(round(rate * 10000) AS BIGINT)) - sum(CAST(round(rate * 10000) AS BIGINT)) * sum(CAST(round(rate * 10000) AS BIGINT))) / count(*) / 10000 AS dv, avg(rate) AS mn,
       avg(CASE WHEN back <= 3 AND d IS NOT NULL THEN CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0.0 END END) AS rs, sum(CASE WHEN back > 3 THEN jobs ELSE 0 END) AS bf FROM x GROUP BY 1),
     c AS (SELECT *, round(nw - coalesce(th, 0.0), 4) AS ch, round(sl, 6) AS s6 FROM t)
     SELECT skill, periods, round(nw, 4) AS recent_rate, round(th, 4) AS earlier_rate, ch AS change, s6 AS slope, round(dv, 4) AS volatility,
