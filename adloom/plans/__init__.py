@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("dealt", "baskets", "markets", "role_time")
+_MODULES = ("dealt", "baskets", "markets", "role_time", "quality_store")
 
 
 def all_catalogues():
