@@ -165,3 +165,32 @@ def direction_bands(series: DataFrame, edge: float = 0.5) -> DataFrame:
     return t.filter(F.col("then").isNotNull()).select(
         "skill", F.when(gap > edge, "higher").when(gap < -edge, "lower").otherwise("broadly similar").alias("direction")
     )
+
+
+def lag_features(series: DataFrame) -> DataFrame:
+    """``(skill, period, rate, lag_1, lag_2, lag_3, mean_3)`` of the periods that have three before them."""
+    up = W.partitionBy("skill").orderBy("period")
+    lags = {f"lag_{k}": F.lag("rate", k).over(up) for k in (1, 2, 3)}
+    return (
+        series.select("skill", "period", "rate")
+        .withColumns(lags)
+        .filter(F.col("lag_3").isNotNull())
+        .withColumn("mean_3", F.round((F.col("lag_1") + F.col("lag_2") + F.col("lag_3")) / 3, 6))
+    )
+
+
+def forest_forecast(series: DataFrame, trees: int = 20, seed: int = 42) -> DataFrame:
+    """``(skill, forecast)``: the next rate by a random forest on the lags of all skills; skills with 4 periods or more."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    names = ["lag_1", "lag_2", "lag_3", "mean_3"]
+    rows = lag_features(series)
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    model = RandomForestRegressor(labelCol="rate", numTrees=trees, minInstancesPerNode=2, seed=seed).fit(assemble.transform(rows))
+    newest = rows.groupBy("skill").agg(F.max_by(F.struct("rate", "lag_1", "lag_2"), "period").alias("_l"))
+    ahead = newest.select(
+        "skill", F.col("_l.rate").alias("lag_1"), F.col("_l.lag_1").alias("lag_2"), F.col("_l.lag_2").alias("lag_3"),
+        ((F.col("_l.rate") + F.col("_l.lag_1") + F.col("_l.lag_2")) / 3).alias("mean_3"),
+    )
+    return model.transform(assemble.transform(ahead)).select("skill", F.round(_clip(F.col("prediction")), 4).alias("forecast"))
