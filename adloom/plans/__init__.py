@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("dealt", "baskets", "markets", "role_time", "quality_store", "extraction")
+_MODULES = ("dealt", "baskets", "markets", "role_time", "quality_store", "extraction", "more")
 
 
 def all_catalogues():

@@ -63,3 +63,26 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def upserted_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key, kept as a table that every micro-batch merges into.
+
+    A batch writes the next version of the table beside the present one, named
+    by the batch, so a batch that is run again after a failure gives the same.
+    """
+    spark = stream.sparkSession
+    root = os.path.join(_shared_folder(spark), f"adloom-upsert-{uuid.uuid4().hex}")
+    done: list[int] = []
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = [n for n in done if n < number]
+        rows = batch.unionByName(spark.read.schema(stream.schema).parquet(f"{root}/v{before[-1]}")) if before else batch
+        own = F.struct(*(F.col(c) for c in rows.columns))
+        last = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(own, F.struct(*order)).alias("_v")).select("_v.*")
+        last.write.mode("overwrite").parquet(f"{root}/v{number}")
+        done.append(number)
+
+    query = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(merge).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], stream.schema)
