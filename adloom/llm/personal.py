@@ -343,17 +343,30 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "")
 
 
+def _people(entities: list[Entity]) -> dict[int, tuple[str, ...]]:
+    """By position: which person each name means; one name alone goes to the one full name that holds it."""
+    parts = {e.start: [p.lower() for p in re.findall(_PART, e.text) if len(p) > 2] for e in entities if e.kind == "person_name"}
+    full = {tuple(sorted(p)) for p in parts.values() if len(p) > 1}
+    out = {}
+    for at, p in parts.items():
+        key = tuple(sorted(p))
+        holders = [f for f in full if len(p) == 1 and p[0] in f]
+        out[at] = holders[0] if len(holders) == 1 else key
+    return out
+
+
 def replaced(text: str | None, key: bytes) -> tuple[str | None, str | None, list[tuple[str, str, str]]]:
     """The text with placeholders, the text with surrogates, and ``(kind, found_text, surrogate)`` rows."""
     if not text:
         return text, text, []
     entities = find(text)
     maker = Surrogates(key, text)
-    numbers: dict[tuple[str, str], int] = {}
+    people = _people(entities)
+    numbers: dict[tuple[str, object], int] = {}
     per_kind: dict[str, int] = {}
     marked, faked, rows, at = [], [], [], 0
     for e in entities:
-        same = (e.kind, _SPACES.sub(" ", e.text).casefold())
+        same = (e.kind, people.get(e.start) or _SPACES.sub(" ", e.text).casefold())
         if same not in numbers:
             per_kind[e.kind] = per_kind.get(e.kind, 0) + 1
             numbers[same] = per_kind[e.kind]
@@ -380,7 +393,7 @@ def with_personal(df: DataFrame, text: str = "text", out: str = "personal", key:
     """Add ``out``: struct of the redacted text, the surrogate text and what was found.
 
     Placeholders are ``[KIND_n]``, numbered within the text; equal entities share
-    a number. Null and empty texts come out as they are with nothing found.
+    a number, and so does a person named in full and by one name. Null and empty texts come out as they are with nothing found.
     Whole texts are searched, however long; extra columns are kept. ``key``
     decides the surrogates.
     """
@@ -400,7 +413,9 @@ def with_personal(df: DataFrame, text: str = "text", out: str = "personal", key:
                 )
             yield pa.array(rows, _ARROW)
 
-    return df.withColumn(fresh(df, out), F.arrow_udf(run, _SCHEMA)(ref(text)))
+    # Searched once: the optimizer may not repeat it where parts of the result are asked for.
+    search = F.arrow_udf(run, _SCHEMA).asNondeterministic()
+    return df.withColumn(fresh(df, out), search(ref(text)))
 
 
 def personal_found(documents: DataFrame, key: str = "adloom") -> DataFrame:
