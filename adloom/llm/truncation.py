@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.llm.boilerplate import Wording, _bounded
+from adloom.session import stored
 
 #: Share of values cut at no limit (transfers that broke off), before any evidence.
 BASE = 0.03
@@ -124,7 +125,7 @@ def last_units(text: Column, vocabulary: tuple[tuple[str, ...], ...]) -> Column:
                 out.append({"unit": units.words(parts[-1]) if parts else "", "factor": factor})
             yield pa.array(out, kind)
 
-    return F.arrow_udf(run, "unit string, factor double")(text)
+    return F.arrow_udf(run, "unit string, factor double").asNondeterministic()(text)
 
 
 def _contexts(words: Column, i: Column) -> Column:
@@ -257,7 +258,8 @@ def truncation_odds(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...] =
     have no row; neither have texts that end with a closing mark.
     """
     own = values.filter(F.trim("text") != "")
-    units = whole_units(own, vocabulary)
+    # Distinct units with counts are small beside the texts; three statistics read them.
+    units = stored(whole_units(own, vocabulary))
     open_ = (
         own.select(
             "key", "field", "source", F.length("text").cast("long").alias("length"),
