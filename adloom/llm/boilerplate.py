@@ -5,9 +5,9 @@
    path of every source; a path's ratio is smoothed with that of the same path
    at all sources. Together with the meaning of its tags (``nav``, ``aside``,
    ``article`` ...) this labels the paths that are sure.
-3. The wording of pieces (numbers, names of places, titles and firms replaced
-   by slots) takes the labels of its sure paths; tokens of wordings carry over
-   to wordings that are new.
+3. The wording of pieces (the whole text; numbers, names of places, titles and
+   firms replaced by slots) takes the labels of its sure paths; tokens of all
+   sentences carry over to wordings that are new.
 4. Paths without a sure label take the mean of their wordings, and where a path
    is mixed, each piece follows its wording.
 
@@ -41,10 +41,10 @@ _FIRM = (
     r"(?:(?:Pte|Pvt|\(Pvt\)) Ltd\.?|Sdn\.? Bhd\.?|GmbH|AG|Ltd\.?|Inc\.?|LLC|PLC|Group|Labs|Analytics|Networks|Digital|Studio|"
     r"Systems|Technologies|Software \(Pvt\) Ltd|Software|Consulting|Staffing|Solutions|Holdings)"
 )
-_FIRM_NAME = re.compile(rf"(?:[^\W\d_]*[A-ZÄÖÜ][\w'’-]*(?:\s+&\s+|\s+)){{1,4}}{_FIRM}(?!\w)")
+# A word is read once, from its start and without giving back, so that long texts cost no more than short ones.
+_FIRM_NAME = re.compile(rf"(?<![^\W\d_])(?:(?>[^\W\d_]*?[A-ZÄÖÜ])[\w'’-]*+(?:\s+&\s+|\s+)){{1,4}}{_FIRM}(?!\w)")
 _FIRM_WORD = re.compile(rf"\s(?=[ABCDGHILNPST(]){_FIRM}(?!\w)")
 _DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
-_SENTENCE = re.compile(r"(?<=[\w)][.!?])\s+")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 _BULLET = re.compile(r"^[\-–—•*·▪●◦]+\s+")
 
@@ -90,7 +90,7 @@ def pieces(page: str | None) -> list[tuple[int, str, str]]:
 
 
 class Wording:
-    """The wording of a piece: its first sentence in slots."""
+    """The wording of a piece: its whole text in slots."""
 
     def __init__(self, places: list[str], titles: list[str], skills: list[str]) -> None:
         def pattern(words: list[str]) -> re.Pattern:
@@ -102,11 +102,14 @@ class Wording:
         self.slots = (
             (pattern(titles), "\x02"), (_FIRM_NAME, "\x03"), (pattern(skills), "\x04"), (pattern(places), "\x05"),
         )
-        self.of = lru_cache(maxsize=1 << 15)(self.compute)
+        self._short = lru_cache(maxsize=1 << 15)(self.compute)
+
+    def of(self, text: str, site: str, firm: str) -> str:
+        # Long texts seldom come again and would fill the memory.
+        return (self._short if len(text) <= 400 else self.compute)(text, site, firm)
 
     def compute(self, text: str, site: str, firm: str) -> str:
         t = _BULLET.sub("", html.unescape(text))
-        t = _SENTENCE.split(t, maxsplit=1)[0][:400]
         if firm and firm in t:
             t = t.replace(firm, "\x03")
         if site and site in t:
@@ -197,23 +200,41 @@ def path_ratios(wordings: DataFrame) -> DataFrame:
     )
 
 
-def _features(wording: Column) -> Column:
-    """Tokens and neighbouring pairs of tokens of a wording, its ends included."""
+#: Where a sentence of a wording ends and another begins.
+_NEXT = r"(?<=[\p{L}\p{N}_)][.!?]) "
+
+
+def sentences_of(texts: DataFrame) -> DataFrame:
+    """``(said, sentence, later, part)`` of all sentences of ``(said, wording)``; ``part`` is a key of 8 bytes."""
+    cut = texts.select("said", F.posexplode(F.split("wording", _NEXT)).alias("_at", "sentence"))
+    later = F.col("_at") > 0
+    return cut.select("said", "sentence", later.alias("later"), F.xxhash64("sentence", later).alias("part"))
+
+
+def _with_tokens(sentences: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and a row for each ``token``: tokens and neighbouring pairs of a sentence, its ends included.
+
+    The ends of later sentences are tokens of their own: the odds of the first
+    ones are those of pieces, however many sentences a piece has.
+    """
+    start, end = (F.when(F.col("later"), x * 2).otherwise(x) for x in "^$")
     tokens = F.filter(
-        F.concat(F.array(F.lit("^")), F.split(F.regexp_replace(wording, r"([^\p{L}\p{N} ])", " $1 "), r" +"), F.array(F.lit("$"))),
+        F.concat(F.array(start), F.split(F.regexp_replace("sentence", r"([^\p{L}\p{N} ])", " $1 "), r" +"), F.array(end)),
         lambda x: x != "",
     )
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.get(tokens, i - 1), F.get(tokens, i))
-    )
-    return F.array_distinct(F.concat(pairs, tokens))
+    # Cut once per sentence: an expression used in a lambda would be worked out again for every token.
+    cut = sentences.withColumn("_t", tokens)
+    last = F.size("_t") - 1
+    pairs = F.zip_with(F.slice("_t", 1, last), F.slice("_t", 2, last), lambda x, y: F.concat_ws(" ", x, y))
+    return cut.select(*columns, F.explode(F.array_distinct(F.concat(pairs, F.col("_t")))).alias("token"))
 
 
-def boilerplate_wordings(counts: DataFrame) -> DataFrame:
-    """``(source, path, wording, off)`` of the distinct wordings in ``counts``, ``off`` true for boilerplate.
+def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
+    """``(source, path, said, off)`` of the distinct wordings in ``counts``, ``off`` true for boilerplate.
 
-    ``counts`` has ``(source, path, wording, n, chars, marks)``; the path of
-    text without markup is null.
+    ``counts`` has ``(source, path, said, n, chars, marks)``, ``said`` the key of
+    a wording; the path of text without markup is null. ``sentences`` has those
+    of every wording, as of :func:`sentences_of`.
     """
     marked = counts.filter(F.col("path").isNotNull())
     paths = path_ratios(marked)
@@ -221,43 +242,55 @@ def boilerplate_wordings(counts: DataFrame) -> DataFrame:
     # What each wording is called where its path is sure.
     sure = (
         labelled.filter(F.col("label").isNotNull())
-        .groupBy("wording")
+        .groupBy("said")
         .agg(F.sum(F.col("n") * F.col("label")).alias("off_n"), F.sum("n").alias("all_n"))
     )
-    # Tokens carry the labels to new wordings; a wording counts once, with little extra for its frequency.
+    # Tokens carry the labels to new wordings; a sentence counts once, with little extra for its frequency.
     weight = F.log1p("all_n")
-    tokens = (
-        sure.select(
-            F.explode(_features(F.col("wording"))).alias("token"),
+    called = (
+        sentences.select("said", "part")
+        .distinct()
+        .join(sure, "said")
+        .groupBy("part")
+        .agg(F.sum("off_n").alias("off_n"), F.sum("all_n").alias("all_n"))
+        .select(
+            "part",
             (weight * F.col("off_n") / F.col("all_n")).alias("o"),
             (weight * (1 - F.col("off_n") / F.col("all_n"))).alias("c"),
         )
+    )
+    texts = sentences.select("part", "sentence", "later").distinct()
+    tokens = (
+        _with_tokens(texts.join(called, "part"), "o", "c")
         .groupBy("token")
         .agg(F.sum("o").alias("o"), F.sum("c").alias("c"))
         .select("token", F.log((F.col("o") + 0.5) / (F.col("c") + 0.5)).alias("odds"))
     )
     # Where the path is sure, nothing asks for the wording's score.
-    asked = labelled.filter(F.col("label").isNull()).select("wording")
-    every = asked.unionByName(counts.filter(F.col("path").isNull()).select("wording")).distinct()
-    scored = (
-        every.select("wording", F.explode(_features(F.col("wording"))).alias("token"))
+    asked = labelled.filter(F.col("label").isNull()).select("said")
+    every = asked.unionByName(counts.filter(F.col("path").isNull()).select("said")).distinct()
+    parts = sentences.select("said", "part").join(every, "said")
+    # Every distinct sentence is scored once, then all of each wording are summed.
+    of_part = (
+        _with_tokens(texts.join(parts.select("part").distinct(), "part", "left_semi"), "part")
         .join(tokens, "token", "left")
-        .groupBy("wording")
-        .agg((F.sum(F.coalesce("odds", F.lit(0.0))) / F.sqrt(F.count("*"))).alias("odds"))
+        .groupBy("part")
+        .agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"), F.count("*").alias("m"))
     )
+    scored = parts.join(of_part, "part").groupBy("said").agg((F.sum("odds") / F.sqrt(F.sum("m"))).alias("odds"))
     share = (F.col("off_n") + PRIOR * F.lit(0.5)) / (F.col("all_n") + PRIOR)
     said = (
-        scored.join(sure, "wording", "left")
+        scored.join(sure, "said", "left")
         .withColumn("trust", F.coalesce(F.col("all_n") / (F.col("all_n") + 2.0), F.lit(0.0)))
         .select(
-            "wording",
+            "said",
             (
                 F.col("trust") * F.coalesce(F.log(share / (1 - share)), F.lit(0.0))
                 + (1 - F.col("trust")) * F.col("odds")
             ).alias("evidence"),
         )
     )
-    joined = counts.join(said, "wording", "left").join(paths, ["source", "path"], "left")
+    joined = counts.join(said, "said", "left").join(paths, ["source", "path"], "left")
     purity = (
         joined.filter(F.col("path").isNotNull())
         .groupBy("source", "path")
@@ -275,7 +308,7 @@ def boilerplate_wordings(counts: DataFrame) -> DataFrame:
         .when((F.col("pieces") >= 20) & (F.col("pure") <= 1 - PURE), False)
         .otherwise(F.col("evidence") + lean > ODDS)
     )
-    return fused.select("source", "path", "wording", off.alias("off"), "evidence", "ratio", "pure")
+    return fused.select("source", "path", "said", off.alias("off"), "evidence", "ratio", "pure")
 
 
 #: Largest list of places, titles or skills that is turned into slots on every worker.
@@ -328,15 +361,18 @@ def boilerplate_pieces(
     Null, empty and blank texts have no pieces. Records delivered twice count
     once in the result.
     """
-    key = F.xxhash64("source", F.coalesce("path", F.lit("")), "wording")
-    cut = stored(page_pieces(jobs, records, locations, titles, skills).withColumn("_k", key))
-    # The counts feed several branches; they are stored as well, and are as many as distinct wordings.
-    verdicts = boilerplate_wordings(stored(_counted(cut)))
+    key = F.xxhash64("source", F.coalesce("path", F.lit("")), "said")
+    said = F.xxhash64("wording")
+    pieces_ = page_pieces(jobs, records, locations, titles, skills).withColumn("said", said)
+    cut = stored(pieces_.withColumn("_k", key).drop("said"))
+    # Counts and sentences feed several branches; they are stored as well, and are as many as distinct wordings.
+    sentences = stored(sentences_of(cut.select(said.alias("said"), "wording").distinct()))
+    verdicts = boilerplate_wordings(stored(_counted(cut.withColumn("said", said))), sentences)
     off = verdicts.filter("off").select(key.alias("_k")).distinct()
     return cut.select("job_id", "field", "seg_no", "_k").join(off, "_k", "left_semi").drop("_k").distinct()
 
 
 def _counted(cut: DataFrame) -> DataFrame:
-    return cut.groupBy("source", "path", "wording").agg(
+    return cut.groupBy("source", "path", "said").agg(
         F.count("*").alias("n"), F.sum("length").alias("chars"), F.sum("marks").alias("marks")
     )

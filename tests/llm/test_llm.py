@@ -102,6 +102,28 @@ def test_boilerplate(spark):
     assert got == want | {("p1", "job_description", 1), ("p1", "job_description", 3)}
 
 
+def test_wording_is_the_whole_text():
+    of = boilerplate.Wording(["St. Alwyn"], ["Data Steward"], []).of
+    assert of("Data Steward, St. Alwyn (new)", "", "") == "\x02, \x05 (new)"
+    assert of("Questions? Ask Ann.", "", "") != of("Questions? Call us.", "", "")
+    assert of("word " * 200 + "one", "", "") != of("word " * 200 + "two", "", "")
+
+
+def test_boilerplate_behind_a_shared_first_sentence(spark):
+    page = "<nav><a>Questions? Visit our help centre.</a></nav><main><article><p>Questions? Ask the hiring team about shifts.</p></article></main>"
+    mixed = "<div><p>Questions? Visit our help centre.</p></div><div><p>Questions? Ask the hiring team about shifts.</p></div>"
+    rows = [(f"{k}{i}", "s", None, None, t) for k, t in (("h", page), ("d", mixed)) for i in range(30)]
+    records = spark.createDataFrame(rows, "job_id string, source_hostname string, source_platform string, company_raw string, job_description_raw string")
+    jobs = records.limit(0).withColumnsRenamed({"company_raw": "company_name", "job_description_raw": "job_description"})
+    dims = (
+        spark.createDataFrame([("Here", "There", "Land")], "city string, region string, country string"),
+        spark.createDataFrame([("Tester",)], "title string"),
+        spark.createDataFrame([("Corvid",)], "canonical_name string"),
+    )
+    got = {(r.job_id, r.seg_no) for r in boilerplate.boilerplate_pieces(jobs, records, *dims).collect()}
+    assert got == {(f"{k}{i}", 1) for k in "hd" for i in range(30)}
+
+
 # Matching
 
 
