@@ -3,8 +3,8 @@
 1. Every page is cut into pieces, each with its root-to-leaf tag path.
 2. Length and punctuation of the text are aggregated over the corpus for every
    path of every source; a path's ratio is smoothed with that of the same path
-   at all sources. Together with the meaning of its tags (``nav``, ``aside``,
-   ``article`` ...) this labels the paths that are sure.
+   at all sources. The meaning of its tags (``nav``, ``aside``, ``article`` ...)
+   is added, and thresholds on the sum label the paths that are sure.
 3. The wording of pieces (the whole text; numbers, names of places, titles and
    firms replaced by slots) takes the labels of its sure paths; tokens of all
    sentences carry over to wordings that are new.
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.session import stored
@@ -159,6 +160,12 @@ def piece_lists(text: Column, site: Column, firm: Column, vocabulary: tuple[tupl
 PRIOR, PURE = 1.0, 0.98
 #: Log odds from which a wording that no path decides counts as boilerplate.
 ODDS = 0.7
+#: Smoothed ratios fused with tags: up to LOW a path is boilerplate, from HIGH it is content; between, wordings decide.
+LOW, HIGH = 2.5, 5.5
+#: What tags add to the ratio: those that tell outweigh any ratio, a heading is short without being boilerplate.
+TELLS, HEADING = 100.0, 2.5
+#: Pieces that a path needs before its ratio alone decides.
+ENOUGH = 20
 
 
 def _tag_label(path: Column) -> Column:
@@ -176,11 +183,15 @@ def _tag_label(path: Column) -> Column:
 
 
 def path_ratios(wordings: DataFrame) -> DataFrame:
-    """``(source, path, ratio, label)``: smoothed text ratio of each path of each source.
+    """``(source, path, ratio, label, teaches)``: smoothed text ratio of each path of each source, and 1 or 0 for sure paths.
 
     The ratio is the mean length times one plus the mean punctuation of the
     path's pieces, averaged with that of the path at all sources (a quarter of
-    the weight), in logarithms.
+    the weight), in logarithms. The meaning of the tags is added to it, and the
+    sum is held against two thresholds: ``label`` is 1 for boilerplate, 0 for
+    content and null between them. ``teaches`` is true for sure paths that label
+    wordings: those whose tags tell, and at sources without any such path those
+    that the ratio decides.
     """
     own = wordings.groupBy("source", "path").agg(
         F.sum("n").alias("_n"), F.sum("chars").alias("_chars"), F.sum("marks").alias("_marks")
@@ -192,11 +203,22 @@ def path_ratios(wordings: DataFrame) -> DataFrame:
     def ratio(n: str, chars: str, marks: str) -> Column:
         return F.log1p(F.col(chars) / F.col(n) * (1 + F.col(marks) / F.col(n)))
 
-    return own.join(everywhere, "path").select(
-        "source",
-        "path",
-        (ratio("_n", "_chars", "_marks") * 0.75 + ratio("_an", "_ac", "_am") * 0.25).alias("ratio"),
-        _tag_label(F.col("path")).alias("label"),
+    tag = _tag_label(F.col("path"))
+    meaning = (
+        F.when(tag == 1.0, -TELLS).when(tag == 0.0, TELLS).when(F.col("path").rlike(r"(?:^|/)h[1-6](?:#[^/]*)?$"), HEADING).otherwise(0.0)
+    )
+    sure = tag.isNotNull() | (F.col("_n") >= ENOUGH)
+    return (
+        own.join(everywhere, "path")
+        .withColumn("ratio", ratio("_n", "_chars", "_marks") * 0.75 + ratio("_an", "_ac", "_am") * 0.25)
+        .withColumn("_fused", F.col("ratio") + meaning)
+        .select(
+            "source",
+            "path",
+            "ratio",
+            F.when(sure & (F.col("_fused") <= LOW), 1.0).when(sure & (F.col("_fused") >= HIGH), 0.0).alias("label"),
+            (tag.isNotNull() | (F.count(tag).over(W.partitionBy("source")) == 0)).alias("teaches"),
+        )
     )
 
 
@@ -241,7 +263,7 @@ def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
     labelled = marked.join(paths, ["source", "path"], "left")
     # What each wording is called where its path is sure.
     sure = (
-        labelled.filter(F.col("label").isNotNull())
+        labelled.filter(F.col("label").isNotNull() & F.col("teaches"))
         .groupBy("said")
         .agg(F.sum(F.col("n") * F.col("label")).alias("off_n"), F.sum("n").alias("all_n"))
     )
@@ -304,8 +326,8 @@ def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
     lean = F.coalesce(F.lit(4.0) - F.col("ratio"), F.lit(0.0)) * 0.25
     off = (
         F.when(F.col("label").isNotNull(), F.col("label") == 1.0)
-        .when((F.col("pieces") >= 20) & (F.col("pure") >= PURE), True)
-        .when((F.col("pieces") >= 20) & (F.col("pure") <= 1 - PURE), False)
+        .when((F.col("pieces") >= ENOUGH) & (F.col("pure") >= PURE), True)
+        .when((F.col("pieces") >= ENOUGH) & (F.col("pure") <= 1 - PURE), False)
         .otherwise(F.col("evidence") + lean > ODDS)
     )
     return fused.select("source", "path", "said", off.alias("off"), "evidence", "ratio", "pure")

@@ -124,6 +124,31 @@ def test_boilerplate_behind_a_shared_first_sentence(spark):
     assert got == {(f"{k}{i}", 1) for k in "hd" for i in range(30)}
 
 
+def test_paths_by_ratio(spark):
+    """Layouts whose tags tell nothing: length and punctuation select and reject paths."""
+    rows = [("s", p, k, 40, 40 * size, 40 * marks) for k, (p, size, marks) in enumerate([("div/div", 7, 0), ("div/section", 200, 3), ("div/span", 40, 1), ("div/h3", 7, 0)])]
+    rows += [("s", "script", 8, 40, 400_000, 9000), ("s", "main/p", 9, 40, 40, 0), ("s", "b/b", 10, 3, 21, 0)]
+    got = boilerplate.path_ratios(spark.createDataFrame(rows, "source string, path string, said long, n long, chars long, marks long"))
+    assert {r.path: r.label for r in got.collect()} == {
+        "div/div": 1.0, "div/section": 0.0, "div/span": None, "div/h3": None, "script": 1.0, "main/p": 0.0, "b/b": None,
+    }
+
+
+def test_boilerplate_of_bare_layouts(spark):
+    text = "We run the {0} depot for the region, and you will plan its shifts, check its stock, and train new staff; ask {1}."
+    page = "<div><div>Sign in</div><section>" + text + "</section></div>"
+    rows = [(f"d{i}", "s", None, None, page.format(["north", "south"][i % 2], ["us", "them"][i % 2])) for i in range(40)]
+    records = spark.createDataFrame(rows, "job_id string, source_hostname string, source_platform string, company_raw string, job_description_raw string")
+    jobs = records.limit(0).withColumnsRenamed({"company_raw": "company_name", "job_description_raw": "job_description"})
+    dims = (
+        spark.createDataFrame([("Here", "There", "Land")], "city string, region string, country string"),
+        spark.createDataFrame([("Tester",)], "title string"),
+        spark.createDataFrame([("Corvid",)], "canonical_name string"),
+    )
+    got = {(r.job_id, r.seg_no) for r in boilerplate.boilerplate_pieces(jobs, records, *dims).collect()}
+    assert got == {(f"d{i}", 1) for i in range(40)}
+
+
 # Matching
 
 
