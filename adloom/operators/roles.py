@@ -67,10 +67,10 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, math.fsum(math.exp(p) for x in range(low, high + 1) if (p := log_p(x)) <= seen))
 
 
-def distinctiveness(tables: DataFrame, alpha: float = 0.05) -> DataFrame:
+def distinctiveness(tables: DataFrame, alpha: float = 0.05, within: tuple[str, ...] = ("role", "method")) -> DataFrame:
     """Chi-square with Yates' correction, or Fisher's exact test where an expected count is below 5.
 
-    Over-represented significant skills are ranked within role and method by p,
+    Over-represented significant skills are ranked ``within`` role and method by p,
     then chi-square, then name; the others have no rank. An empty margin gives no test.
     """
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
@@ -94,7 +94,7 @@ def distinctiveness(tables: DataFrame, alpha: float = 0.05) -> DataFrame:
     over = F.coalesce((a / (a + b)) > F.when((c + d) > 0, c / (c + d)).otherwise(0.0), F.lit(False))
     scored = exact.unionByName(plain).withColumns({"odds_ratio": odds, "over": over})
     chosen = F.coalesce((F.col("p_value") < alpha) & F.col("over"), F.lit(False))
-    order = W.partitionBy("role", "method", chosen).orderBy("p_value", F.desc("chi2"), "skill")
+    order = W.partitionBy(*within, chosen).orderBy("p_value", F.desc("chi2"), "skill")
     return scored.withColumn("rank", F.when(chosen, F.row_number().over(order)))
 
 
@@ -123,30 +123,48 @@ def rank_divergence(facts: DataFrame, methods: tuple[str, str] = ("lexical", "se
     )
 
 
-def bootstrap_stability(facts: DataFrame, replicates: int = 20, top: int = 5, seed: int = 42) -> DataFrame:
-    """``(role, skill, hits, hit_rate)``: how often a skill is among a role's top skills when jobs are redrawn.
+def drawn_tables(facts: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The 2x2 tables of :func:`contingency` for every replicate ``draw`` in which a skill is seen in the role.
 
     Every job gets a Poisson(1) weight for each replicate from a hash of its id,
     the replicate and the seed, so a replicate needs no gathering of the jobs.
     """
-    u = (F.pmod(F.xxhash64("job_id", "_r", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    u = (F.pmod(F.xxhash64("job_id", "draw", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
     steps = [(k, sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(7)]
     weight = F.lit(7)
     for k, bound in reversed(steps):
         weight = F.when(u < bound, k).otherwise(weight)
-    drawn = (
-        facts.select("job_id", "role", "skill")
-        .distinct()
-        .withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("_w", weight)
-        .groupBy("role", "_r", "skill")
-        .agg(F.sum("_w").alias("n"))
+
+    def drawn(name: str, *by: str) -> DataFrame:
+        jobs = facts.select("job_id", *by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        return jobs.groupBy("draw", *by).agg(F.sum(weight).alias(name))
+
+    # No table without the skill in the role can be over-represented.
+    cell = drawn("a", "role", "method", "skill").filter(F.col("a") > 0)
+    t = (
+        cell.join(drawn("n_role", "role", "method"), ["draw", "role", "method"])
+        .join(drawn("n_skill", "method", "skill"), ["draw", "method", "skill"])
+        .join(drawn("n_all", "method"), ["draw", "method"])
     )
-    place = F.row_number().over(W.partitionBy("role", "_r").orderBy(F.desc("n"), "skill"))
+    return t.select(
+        "draw", "role", "method", "skill", "a",
+        (F.col("n_role") - F.col("a")).alias("b"),
+        (F.col("n_skill") - F.col("a")).alias("c"),
+        (F.col("n_all") - F.col("n_role") - F.col("n_skill") + F.col("a")).alias("d"),
+    )
+
+
+def bootstrap_stability(facts: DataFrame, replicates: int = 30, top: int = 5, seed: int = 42) -> DataFrame:
+    """``(role, method, skill, hits, hit_rate)`` of the top distinctive skills of each role and method.
+
+    A hit is a replicate of redrawn jobs in which the test, made again, has the
+    skill among the top ones; skills without a hit have 0.
+    """
+    best = distinctiveness(contingency(facts)).filter(F.col("rank") <= top).select("role", "method", "skill")
+    again = distinctiveness(drawn_tables(facts, replicates, seed), within=("draw", "role", "method"))
+    hits = again.filter(F.col("rank") <= top).groupBy("role", "method", "skill").agg(F.count("*").alias("hits"))
     return (
-        drawn.withColumn("_k", place)
-        .filter((F.col("_k") <= top) & (F.col("n") > 0))
-        .groupBy("role", "skill")
-        .agg(F.count("*").alias("hits"))
+        best.join(hits, ["role", "method", "skill"], "left")
+        .withColumn("hits", F.coalesce("hits", F.lit(0)))
         .withColumn("hit_rate", F.round(F.col("hits") / float(replicates), 4))
     )

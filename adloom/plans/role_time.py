@@ -91,7 +91,7 @@ def rank_divergence(spark, sf_dir):
 
 @catalogue.add("role_bootstrap")
 def role_bootstrap(spark, sf_dir):
-    return roles.bootstrap_stability(role_facts(spark, sf_dir).filter(F.col("method") == "lexical"))
+    return roles.bootstrap_stability(role_facts(spark, sf_dir))
 
 
 def dated_jobs(spark, sf_dir):

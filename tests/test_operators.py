@@ -70,6 +70,18 @@ def test_distinctiveness(spark):
     assert got["A", "git"].test == "none" and got["A", "git"]["rank"] is None
 
 
+def test_bootstrap_tests_again(spark):
+    rows = [(f"{r}{i}", r, m, s) for r in "xy" for i in range(40) for m in ("lexical", "semantic") for s in ("common", f"own_{r}")]
+    rows += [(f"x{i}", "x", "lexical", "barely") for i in range(7)]
+    f = spark.createDataFrame(rows, "job_id string, role string, method string, skill string")
+    got = {(r.role, r.method, r.skill): (r.hits, r.hit_rate) for r in roles.bootstrap_stability(f).collect()}
+    # What all jobs have is frequent but never distinctive.
+    assert set(got) == {(r, m, f"own_{r}") for r in "xy" for m in ("lexical", "semantic")} | {("x", "lexical", "barely")}
+    assert all(v == (30, 1.0) for k, v in got.items() if k[2] != "barely") and 0 < got["x", "lexical", "barely"][0] < 30
+    tables = roles.drawn_tables(f, 30, 42).filter("method = 'lexical' and skill = 'own_x'").collect()
+    assert len(tables) == 30 and all(t.b == t.c == 0 and t.a > 0 for t in tables) and len({t.a for t in tables}) > 3
+
+
 def test_fisher():
     assert math.isclose(roles.fisher_exact(3, 0, 1, 4), 0.142857142857, rel_tol=1e-6)
     assert math.isclose(roles.fisher_exact(8, 2, 1, 5), 0.0349650349, rel_tol=1e-6)
