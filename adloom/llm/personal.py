@@ -10,13 +10,16 @@ digits for digits and letters for letters in the same script and case, names by
 token so that a first name or surname alone stays with its person, first names
 by the gender that a form of address tells. Where two entities of a text would
 share a surrogate, or a surrogate stands in the text already, the next one of
-the keyed sequence is taken.
+the keyed sequence is taken; the sequence has no end, as surrogates grow longer
+when those of one length run out. Initials only differ from each other and from
+their original, since letters stand in every text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -242,34 +245,59 @@ class Surrogates:
     _MIDDLES = ("bri", "dor", "fen", "gal", "lin", "mar", "nor", "ren", "sil", "tor", "ven", "wyn")
     _ENDS = {"f": ("a", "ia", "elle", "ine"), "m": ("us", "an", "or", "ek"), "": ("is", "en", "er", "el"), "l": ("ton", "ham", "sey", "wick", "more")}
 
+    #: Tries at one length.
+    TURNS = 64
+
     def __init__(self, key: bytes, text: str) -> None:
         self.key, self.text = key, text.lower()
         self.given: dict[tuple[str, str], str] = {}
         self.used: set[str] = set()
+        self.initials: set[str] = set()
 
     def _bytes(self, kind: str, text: str, turn: int) -> bytes:
         return hmac.new(self.key, f"{kind}\x00{text}\x00{turn}".encode(), hashlib.sha256).digest()
 
     def distinct(self, kind: str, text: str, make) -> str:
-        """The first surrogate of the keyed sequence that is neither used nor in the text."""
+        """The first surrogate of the keyed sequence that is neither used nor in the text.
+
+        ``make`` gets keyed bytes and by how much the surrogate grows, one more after every ``TURNS``.
+        """
         same = (kind, text)
         if same not in self.given:
-            for turn in range(64):
-                got = make(self._bytes(kind, text, turn))
+            for turn in itertools.count():
+                got = make(self._bytes(kind, text, turn), turn // self.TURNS)
                 if got.lower() not in self.used and got.lower() not in self.text:
                     break
             self.used.add(got.lower())
             self.given[same] = got
         return self.given[same]
 
+    def initial(self, letter: str) -> str:
+        """Another letter for an initial, the next unused one; more letters where all are used."""
+        same = ("initial", letter)
+        if same not in self.given:
+            start = self._bytes("initial", letter, 0)[0] % 26
+            turned = [chr(65 + (start + k) % 26) for k in range(26)]
+            for size in itertools.count(1):
+                free = ("".join(c) for c in itertools.product(turned, repeat=size))
+                got = next((c for c in free if c != letter and c not in self.initials), None)
+                if got:
+                    break
+            self.initials.add(got)
+            self.given[same] = got
+        return self.given[same]
+
     def part(self, word: str, first: bool, gender: str) -> str:
         """A name part by token, in the case of the original; letters of other scripts stay in their script."""
         if not word.isascii() and not any("LATIN" in _script(c) for c in word):
-            return self.distinct("person", word, lambda b: self.shaped(word, b))
+            return self.distinct("person", word, lambda b, more: self.shaped(word + word[-1] * more, b))
 
-        def make(b: bytes) -> str:
+        def make(b: bytes, more: int) -> str:
             ends = self._ENDS[gender if first else "l"] if first else self._ENDS["l"]
-            return self._STARTS[b[0] % 20] + self._MIDDLES[b[1] % 12] + ends[b[2] % len(ends)]
+            return self._STARTS[b[0] % 20] + self._MIDDLES[b[1] % 12] + further(b, more) + ends[b[2] % len(ends)]
+
+        def further(b: bytes, more: int) -> str:
+            return "".join(self._MIDDLES[b[(3 + k) % len(b)] % 12] for k in range(more))
 
         got = self.distinct("person", word.lower(), make)
         return got.upper() if word.isupper() and len(word) > 1 else got
@@ -307,7 +335,7 @@ class Surrogates:
                 if w.lower() in links:
                     return w
                 if len(w) == 1:
-                    return self.distinct("initial", w, lambda b: chr(65 + b[0] % 26))[:1]
+                    return self.initial(w)
                 spot = words.index(w)
                 first = len(words) > 1 and (spot == len(words) - 1 if turned else spot == 0)
                 return self.part(w, first, e.gender)
@@ -317,24 +345,26 @@ class Surrogates:
             m = re.match(r"([\w.+\-]+)(\W*(?:at|AT)?\W*)(.+)", e.text, re.S)
             local, sign, domain = (m[1], m[2], m[3]) if m else (e.text, "", "")
 
-            def make(b: bytes) -> str:
+            def make(b: bytes, more: int) -> str:
                 tail = re.sub(r"[A-Za-z][\w\-]*", "inbox", domain, count=1)
-                return self.shaped(local, b) + sign + tail
+                return self.shaped(local + "x" * more, b) + sign + tail
 
             return self.distinct("email", e.text.lower(), make)
         if e.kind == "phone":
             head = re.match(r"(?:\+|00)\d{1,3}", e.text)
             keep = head.group() if head else ""
-            return self.distinct("phone", e.text, lambda b: keep + self.shaped(e.text[len(keep) :], b))
+            return self.distinct("phone", e.text, lambda b, more: keep + self.shaped(e.text[len(keep) :] + "1" * more, b))
         if e.kind == "address":
 
-            def street(b: bytes) -> str:
+            def street(b: bytes, more: int) -> str:
                 name = self._STARTS[b[5] % 20] + self._MIDDLES[b[6] % 12]
-                moved = re.sub(r"\d+", lambda m: self.shaped(m.group(), b), e.text)
+                # The first number grows; one is added where there is none.
+                longer = re.sub(r"\d+|\Z", lambda m: (m.group() or " ") + "1" * more, e.text, count=1) if more else e.text
+                moved = re.sub(r"\d+", lambda m: self.shaped(m.group(), b), longer)
                 return re.sub(rf"(?<=[\s,])[{_UP}][\w'’\-]*(?=\s{_KIND_OF_STREET})", name, moved, count=1)
 
             return self.distinct("address", _SPACES.sub(" ", e.text.lower()), street)
-        return self.distinct(e.kind, e.text, lambda b: self.shaped(e.text, b))
+        return self.distinct(e.kind, e.text, lambda b, more: self.shaped(e.text + "1" * more, b))
 
 
 def _script(c: str) -> str:

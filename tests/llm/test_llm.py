@@ -340,6 +340,22 @@ def test_surrogates():
     assert personal.replaced(TEXT, b"k") == (redacted, fake, rows) and personal.replaced(TEXT, b"other")[1] != fake
 
 
+def test_surrogates_stay_distinct():
+    made = personal.Surrogates(b"k", "".join(map(chr, range(65, 91))))
+    letters = [chr(65 + k) for k in range(26)] + ["É", "Ł"]
+    initials = [made.of(personal.Entity("person_name", 0, 0, f"{c}. Marlow")).split(".")[0] for c in letters]
+    assert len(set(initials)) == 28 and all(a != b for a, b in zip(letters, initials))
+    made = personal.Surrogates(b"k", "")
+    words = ["".join(c) for c in itertools.product("abcdefghij", repeat=4)][:3000]
+    names = [made.of(personal.Entity("person_name", 0, 0, f"X{w} Y{w}")) for w in words]
+    assert len({n.split()[0].lower() for n in names}) == len({n.split()[1].lower() for n in names}) == 3000
+    towns = [f"Am Markt {k}, 00000 Velmora" for k in range(1, 10)] + ["Am Markt 0, 00000 Velmora", "Plot A, Old Cross, Hill Layout, Velmora", "Plot B, Old Cross, Hill Layout, Velmora"]
+    places = [made.of(personal.Entity("address", 0, 0, t)) for t in towns]
+    assert len({p.lower() for p in places}) == len(towns)
+    mails = [made.of(personal.Entity("email", 0, 0, f"{c}@x{k}.example")) for k in range(2) for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert len(set(mails)) == 52
+
+
 def test_odd_documents(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, TEXT * 40, "x"), (5, "a@b.example", "x"), (5, "a@b.example", "x"), (6, "(" * 5000 + "0" * 5000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, personal string")
