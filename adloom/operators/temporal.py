@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,18 +183,82 @@ def lag_features(series: DataFrame) -> DataFrame:
     )
 
 
-def forest_forecast(series: DataFrame, trees: int = 20, seed: int = 42) -> DataFrame:
-    """``(skill, forecast)``: the next rate by a random forest on the lags of all skills; skills with 4 periods or more."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+def _grown(x: np.ndarray, y: np.ndarray, leaf: int = 2) -> tuple | float:
+    """A regression tree as ``(feature, bound, left, right)`` or a mean; no leaf has fewer than ``leaf`` rows."""
+    n, best = len(y), None
+    if n >= 2 * leaf and y.max() > y.min():
+        order = np.argsort(x, axis=0, kind="stable")
+        xs, ys = np.take_along_axis(x, order, axis=0), y[order]
+        left = np.cumsum(ys, axis=0)[leaf - 1 : n - leaf]
+        k = np.arange(leaf, n - leaf + 1)[:, None]
+        low, high = xs[leaf - 1 : n - leaf], xs[leaf : n - leaf + 1]
+        gain = np.where(high > low, left**2 / k + (y.sum() - left) ** 2 / (n - k), -np.inf)
+        at, f = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        if np.isfinite(gain[at, f]):
+            best = (int(f), float((low[at, f] + high[at, f]) / 2))
+    if best is None:
+        return float(y.mean())
+    # Halfway between neighbours can round to the upper one.
+    here = x[:, best[0]] <= best[1]
+    return float(y.mean()) if here.all() else (*best, _grown(x[here], y[here], leaf), _grown(x[~here], y[~here], leaf))
 
-    names = ["lag_1", "lag_2", "lag_3", "mean_3"]
-    rows = lag_features(series)
-    assemble = VectorAssembler(inputCols=names, outputCol="features")
-    model = RandomForestRegressor(labelCol="rate", numTrees=trees, minInstancesPerNode=2, seed=seed).fit(assemble.transform(rows))
-    newest = rows.groupBy("skill").agg(F.max_by(F.struct("rate", "lag_1", "lag_2"), "period").alias("_l"))
-    ahead = newest.select(
-        "skill", F.col("_l.rate").alias("lag_1"), F.col("_l.lag_1").alias("lag_2"), F.col("_l.lag_2").alias("lag_3"),
-        ((F.col("_l.rate") + F.col("_l.lag_1") + F.col("_l.lag_2")) / 3).alias("mean_3"),
-    )
-    return model.transform(assemble.transform(ahead)).select("skill", F.round(_clip(F.col("prediction")), 4).alias("forecast"))
+
+def _forest_next(values: list[float], trees: int, steps: int, seed: list[int]) -> list[float]:
+    """The next ``steps`` values by a forest on the lags of one series, each fed back for the one after it."""
+    rows = [[values[i - 1], values[i - 2], values[i - 3], sum(values[i - 3 : i]) / 3] for i in range(3, len(values))]
+    x, y, draw = np.array(rows), np.array(values[3:]), np.random.default_rng(seed)
+    grown = [_grown(x[k], y[k]) for k in draw.integers(0, len(y), (trees, len(y)))]
+
+    def told(tree: tuple | float, row: list[float]) -> float:
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    state = list(values[-3:])
+    for _ in range(steps):
+        row = [state[-1], state[-2], state[-3], sum(state[-3:]) / 3]
+        state.append(min(100.0, max(0.0, sum(told(t, row) for t in grown) / trees)))
+    return state[3:]
+
+
+def forest_forecast(series: DataFrame, trees: int = 150, horizon: int = 3, least: int = 4, seed: int = 42) -> DataFrame:
+    """``(skill, step, forecast)``: the next rates by a random forest on the lags of each skill with ``least`` periods."""
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("period")
+        if len(one) < max(least, 4):
+            return pd.DataFrame([], columns=["skill", "step", "forecast"])
+        skill = one["skill"].iloc[0]
+        got = _forest_next(one["rate"].astype(float).tolist(), trees, horizon, [seed, zlib.crc32(skill.encode())])
+        return pd.DataFrame({"skill": skill, "step": range(1, horizon + 1), "forecast": [round(v, 4) for v in got]})
+
+    return series.select("skill", "period", "rate").groupBy("skill").applyInPandas(run, "skill string, step int, forecast double")
+
+
+def forest_origins(series: DataFrame, trees: int = 100, least: int = 12, seed: int = 42) -> DataFrame:
+    """The table of :func:`rolling_origin` with the model ``forest``; all models over the same origins.
+
+    Every origin has ``least`` periods before it, and its forest sees only those.
+    """
+    first = max(least, 11)  # eight rows with three lags
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("period")
+        values, skill = one["rate"].astype(float).tolist(), one["skill"].iloc[0]
+        key = [seed, zlib.crc32(skill.encode())]
+        made = [(values[i], values[i - 1], _forest_next(values[:i], trees, 1, [*key, i])[0]) for i in range(first, len(values))]
+        return pd.DataFrame([(skill, *m) for m in made], columns=["skill", "rate", "_prev", "forecast"])
+
+    made = series.select("skill", "period", "rate").groupBy("skill").applyInPandas(
+        run, "skill string, rate double, _prev double, forecast double"
+    )
+    error = F.col("forecast") - F.col("rate")
+    right = (F.signum(F.round(F.col("forecast") - F.col("_prev"), 9)) == F.signum(F.round(F.col("rate") - F.col("_prev"), 9))).cast("double")
+    scores = made.groupBy("skill").agg(
+        F.lit("forest").alias("model"),
+        F.count("*").alias("n"),
+        F.round(F.avg(F.abs(error)), 4).alias("mae"),
+        F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse"),
+        F.round(F.avg(right), 4).alias("direction"),
+    )
+    return rolling_origin(series, first).unionByName(scores)

@@ -185,6 +185,11 @@ def forest_forecast(spark, sf_dir):
     return temporal.forest_forecast(filled(spark, sf_dir))
 
 
+@catalogue.add("forest_origins")
+def forest_origins(spark, sf_dir):
+    return temporal.forest_origins(filled(spark, sf_dir))
+
+
 @catalogue.add("source_sample")
 def source_sample(spark, sf_dir):
     jobs = table(spark, sf_dir, "jobs").select("job_id", "source_platform", "job_title")

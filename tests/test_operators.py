@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from adloom.functions import text as tx
-from adloom.operators import basket, extract, facts, quality, roles, store
+from adloom.operators import basket, extract, facts, quality, roles, store, temporal
 from adloom.sources import files
 
 JOBS_4 = [
@@ -82,6 +82,18 @@ def test_bootstrap_tests_again(spark):
     assert len(tables) == 30 and all(t.b == t.c == 0 and t.a > 0 for t in tables) and len({t.a for t in tables}) > 3
 
 
+def test_forest_feeds_back_and_is_scored(spark):
+    rows = [("up_down", f"2{k:03}-01-01", [10.0, 20.0, 60.0][k % 3]) for k in range(30)] + [("short", f"2{k:03}-01-01", 5.0) for k in range(3)]
+    series = spark.createDataFrame(rows, "skill string, period string, rate double").withColumn("period", F.to_date("period"))
+    got = {(r.skill, r.step): r.forecast for r in temporal.forest_forecast(series).collect()}
+    # The cycle goes on only if each forecast is fed back.
+    assert set(got) == {("up_down", k) for k in (1, 2, 3)}
+    assert all(abs(got["up_down", k] - v) < 2 for k, v in ((1, 10), (2, 20), (3, 60)))
+    scores = {r.model: r for r in temporal.forest_origins(series).collect()}
+    assert set(scores) == {"last_value", "mean_3", "linear", "forest"} and {r.n for r in scores.values()} == {18}
+    assert scores["forest"].mae < 3 < scores["mean_3"].mae and scores["forest"].direction == 1.0
+
+
 def test_fisher():
     assert math.isclose(roles.fisher_exact(3, 0, 1, 4), 0.142857142857, rel_tol=1e-6)
     assert math.isclose(roles.fisher_exact(8, 2, 1, 5), 0.0349650349, rel_tol=1e-6)
