@@ -399,7 +399,7 @@ def stream_windows(spark, sf_dir):
 
 @catalogue.add("stream_once", "SELECT DISTINCT event_id FROM events")
 def stream_once(spark, sf_dir):
-    return mb.drained(mb.once(mb.table_stream(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id")).select("event_id").distinct()
+    return mb.drained(mb.once_ever(mb.table_stream(spark, sf_dir, "events").select("event_id"), "event_id"))
 
 
 @catalogue.add("stream_bounds", "SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")

@@ -37,6 +37,11 @@ def once(events: DataFrame, at: str, *keys: str, late: str = "1 day") -> DataFra
     return events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark(list(keys)).drop("_at")
 
 
+def once_ever(events: DataFrame, *keys: str) -> DataFrame:
+    """The first delivery of each key, however late; the state holds every key."""
+    return events.dropDuplicates(list(keys))
+
+
 def not_ahead(events: DataFrame, at: str, now: str) -> DataFrame:
     """Only events that are not later than ``now``."""
     return events.filter(F.col(at) <= F.lit(now).cast("timestamp_ntz"))

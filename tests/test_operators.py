@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from adloom.functions import text as tx
 from adloom.operators import basket, extract, facts, quality, roles, store, temporal
+from adloom.plans import quality_store
 from adloom.sources import files
 
 JOBS_4 = [
@@ -94,6 +97,21 @@ def test_forest_feeds_back_and_is_scored(spark):
     assert scores["forest"].mae < 3 < scores["mean_3"].mae and scores["forest"].direction == 1.0
 
 
+def test_stream_once_drops_no_late_file(spark, tmp_path):
+    """Files for several micro-batches, the newest events first."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(200):
+        at = dt.datetime(2024, 6, 1) - dt.timedelta(days=k)
+        pq.write_table(pa.table({"event_id": pa.array([k, k // 2]), "ts": pa.array([at, at])}), folder / f"part-{k:05}.parquet")
+        os.utime(folder / f"part-{k:05}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    got = [r.event_id for r in quality_store.stream_once(spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(200))
+
+
 def test_fisher():
     assert math.isclose(roles.fisher_exact(3, 0, 1, 4), 0.142857142857, rel_tol=1e-6)
     assert math.isclose(roles.fisher_exact(8, 2, 1, 5), 0.0349650349, rel_tol=1e-6)
