@@ -86,22 +86,21 @@ def centroids(vectors: DataFrame, label: str, embedding: str) -> DataFrame:
 
 
 def nearest_centroids(vectors: DataFrame, means: DataFrame, key: str, embedding: str, least: float = 0.0) -> DataFrame:
-    """``(key, label, cosine)``: the closest centroid of each vector whose cosine reaches ``least``.
+    """``(key, label, cosine)``: every label whose centroid's cosine to the vector reaches ``least``.
 
     The centroids are a dimension of checked size; vectors are compared in
-    batches by matrix products. Null and zero vectors have none; ties go to the
-    smallest label.
+    batches by matrix products. Null and zero vectors have none.
     """
     rows = sorted(_checked(means), key=lambda r: r.label)
     labels = np.array([r.label for r in rows])
     matrix = np.array([r.centroid for r in rows], dtype=float).reshape(len(rows), -1)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-    kind = pa.struct([("label", pa.int32()), ("cosine", pa.float64())])
+    kind = pa.list_(pa.struct([("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out: list[dict | None] = []
+            out: list[list[dict] | None] = []
             for v in batch.to_pylist():
                 x = np.array(v if v else [], dtype=float)
                 size = np.linalg.norm(x) if x.size == unit.shape[1] else 0.0
@@ -109,12 +108,12 @@ def nearest_centroids(vectors: DataFrame, means: DataFrame, key: str, embedding:
                     out.append(None)
                     continue
                 scores = unit @ (x / size)
-                k = int(np.argmax(scores))
-                out.append({"label": int(labels[k]), "cosine": float(scores[k])})
+                out.append([{"label": int(labels[k]), "cosine": float(scores[k])} for k in np.flatnonzero(scores >= least)])
             yield pa.array(out, kind)
 
-    scored = vectors.select(ref(key).alias(key), F.arrow_udf(run, "label int, cosine double")(ref(embedding)).alias("_n"))
-    return scored.filter(F.col("_n.cosine") >= least).select(key, "_n.label", F.round("_n.cosine", 4).alias("cosine"))
+    near = F.arrow_udf(run, "array<struct<label: int, cosine: double>>")(ref(embedding))
+    scored = vectors.select(ref(key).alias(key), F.explode(near).alias("_n"))
+    return scored.select(key, "_n.label", F.round("_n.cosine", 4).alias("cosine"))
 
 
 def links(pages: DataFrame, key: str, page: str) -> DataFrame:

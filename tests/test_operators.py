@@ -112,6 +112,13 @@ def test_stream_once_drops_no_late_file(spark, tmp_path):
     assert sorted(got) == list(range(200))
 
 
+def test_every_label_above_the_threshold(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None)], "id long, e array<double>")
+    means = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 2.0]), (9, [-1.0, 0.0])], "label int, centroid array<double>")
+    got = sorted(map(tuple, extract.nearest_centroids(vectors, means, "id", "e", 0.5).collect()))
+    assert got == [(1, 7, 0.7071), (1, 8, 0.7071), (2, 7, 1.0)]
+
+
 def test_fisher():
     assert math.isclose(roles.fisher_exact(3, 0, 1, 4), 0.142857142857, rel_tol=1e-6)
     assert math.isclose(roles.fisher_exact(8, 2, 1, 5), 0.0349650349, rel_tol=1e-6)
