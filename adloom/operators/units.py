@@ -6,13 +6,20 @@ settles overlaps, word limits drop aliases inside other words, and the fields
 beside the text settle what the text leaves open. Numbers without a unit's
 neighbourhood (percentages, vacancies, hours, grades) are not amounts. The
 factors are then joined from the unit table, and the arithmetic is exact.
+
+Every unit of the table is an alias of itself, and callers can give more, so a
+new unit needs no change here. A currency that stands beside the amount without
+being in the table (its three-letter code or its sign) is a currency all the
+same: such a text is no case, rather than priced in another currency.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,6 +53,7 @@ PERIOD_ALIASES = {
         "per day", "a day", "/day", "/ day", "daily", "pro tag", "am tag", "/tag", "/ tag", "täglich", "sehari",
         "/hari", "/ hari",
     ),
+    "weekly": ("per week", "/week", "/ week", "/wk", "/ wk", "weekly", "pro woche", "/woche", "wöchentlich", "seminggu", "/minggu"),
     "hourly": (
         "per hour", "an hour", "/hour", "/ hour", "/hr", "/ hr", "hourly", "die stunde", "pro stunde", "/std.",
         "/ std.", "/std", "/ std", "/stunde", "/ stunde", "stündlich", "sejam", "/jam", "/ jam",
@@ -70,6 +78,19 @@ COUNT_WORDS = (
 #: A number after one of these names something.
 NAME_WORDS = ("ref", "ref.", "grade", "level", "scale", "m", "after", "no.", "#", "band", "step", "job")
 
+# Three-letter codes of currencies (ISO 4217, those in use).
+CURRENCY_CODES = frozenset(
+    "AED AFN ALL AMD ANG AOA ARS AUD AWG AZN BAM BBD BDT BGN BHD BIF BMD BND BOB BRL BSD BTN BWP BYN BZD CAD CDF CHF CLP CNY COP CRC "
+    "CUP CVE CZK DJF DKK DOP DZD EGP ERN ETB EUR FJD FKP GBP GEL GHS GIP GMD GNF GTQ GYD HKD HNL HTG HUF IDR ILS INR IQD IRR ISK JMD "
+    "JOD JPY KES KGS KHR KMF KPW KRW KWD KYD KZT LAK LBP LKR LRD LSL LYD MAD MDL MGA MKD MMK MNT MOP MRU MUR MVR MWK MXN MYR MZN NAD "
+    "NGN NIO NOK NPR NZD OMR PAB PEN PGK PHP PKR PLN PYG QAR RON RSD RUB RWF SAR SBD SCR SDG SEK SGD SHP SLE SOS SRD SSP STN SVC SYP "
+    "SZL THB TJS TMT TND TOP TRY TTD TWD TZS UAH UGX USD UYU UZS VES VND VUV WST XAF XCD XOF XPF YER ZAR ZMW ZWG".split()
+)
+#: What counts hours or days of work: a period behind it says how often one works, not what the pay is for.
+_WORKED = re.compile(r"(?:days?|hours?|hrs?\.?|tage?n?|stunden?|hari|jam)\s*$")
+#: Amounts from here on are no pay; they would not fit the arithmetic.
+TOO_MUCH = 10**13
+
 _SPACE = re.compile(r"\s+")
 _REFERENCE = re.compile(r"\b(?:ref|job|no)\b[.:# ]*[a-z]*[-/]?\d+(?:[-/]\d+)*")
 # An amount: grouped digits (any of the usual separators), or plain ones, with decimals.
@@ -83,7 +104,8 @@ _NUMBER = re.compile(
 )
 
 
-def _aliases() -> dict[str, set[tuple[str, object]]]:
+def _aliases(more: tuple[tuple[str, str, str], ...] = ()) -> dict[str, set[tuple[str, object]]]:
+    """What every alias means; ``more`` holds further ``(kind, unit, alias)``."""
     table: dict[str, set[tuple[str, object]]] = {}
 
     def add(kind: str, value: object, words) -> None:
@@ -105,17 +127,21 @@ def _aliases() -> dict[str, set[tuple[str, object]]]:
     add("range", None, RANGE_WORDS)
     add("count", None, COUNT_WORDS)
     add("name", None, NAME_WORDS)
+    for kind, unit, alias in more:
+        known = {k for k, _ in table.get(alias.strip().lower(), ())}
+        if alias.strip() and kind not in known:
+            add(kind, unit, (alias.strip().lower(),))
     return table
 
 
 class UnitScanner:
     """Finds unit aliases near numbers; pure Python around one automaton."""
 
-    def __init__(self) -> None:
+    def __init__(self, more: tuple[tuple[str, str, str], ...] = ()) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        for alias, meanings in _aliases().items():
+        for alias, meanings in _aliases(more).items():
             self.automaton.add_word(alias, (alias, tuple(sorted(meanings, key=str))))
         self.automaton.make_automaton()
 
@@ -142,7 +168,9 @@ class UnitScanner:
         """``(low, high, currency, period)`` in ten-thousandths; -1 for an open end; None for no pay."""
         if raw is None:
             return None
-        text = _SPACE.sub(" ", raw.replace("rs.", "rs. ").replace("Rs.", "Rs. ")).strip().lower()
+        cased = _SPACE.sub(" ", raw.replace("rs.", "rs. ").replace("Rs.", "Rs. ")).strip()
+        # Letters whose lower case is longer than they are stay, so that places in both texts are the same.
+        text = "".join(c.lower() if len(c.lower()) == 1 else c for c in cased)
         text = _REFERENCE.sub(lambda m: " " * len(m.group()), text)
         numbers = [(m.start(), m.end(), m.group()) for m in _NUMBER.finditer(text)]
         if not numbers:
@@ -178,16 +206,20 @@ class UnitScanner:
             if "range" in kinds and not re.search(r"[,(+]", between):
                 pair = amounts[1]
         currency = period = None
-        for _, _, meanings in found:
+        for start, _, meanings in found:
             for kind, value in meanings:
                 if kind == "currency" and currency is None:
                     currency = value
-                if kind == "period" and period is None:
+                if kind == "period" and period is None and not _WORKED.search(text[:start]):
                     period = value
+        if currency is None:
+            currency = _other_currency(cased, amounts[0][0], (pair or first)[1])
         scale = first[3] or (pair[3] if pair else None) or 1
         low = _value(first[2], bool(first[3] or (pair and pair[3]))) * (first[3] or scale)
+        high = _value(pair[2], bool(pair[3] or first[3])) * (pair[3] or scale) if pair else low
+        if max(low, high) >= TOO_MUCH:
+            return None
         if pair:
-            high = _value(pair[2], bool(pair[3] or first[3])) * (pair[3] or scale)
             low, high = min(low, high), max(low, high)
             return int(low * 10_000), int(high * 10_000), currency, period
         head = {k for s, e, ms in found if e <= first[0] for k, _ in ms}
@@ -199,6 +231,22 @@ class UnitScanner:
         return cents, cents, currency, period
 
 
+_CODE_BEFORE = re.compile(r"(?<![^\W\d_])([A-Z]{3}) ?\Z")
+_CODE_AFTER = re.compile(r" ?(?:[kKlLmM](?:[nN])? ?)?([A-Z]{3})(?![^\W\d_])")
+
+
+def _other_currency(cased: str, start: int, stop: int) -> str | None:
+    """The code or sign of a currency beside ``cased[start:stop]`` that no alias knows; null if there is none."""
+    before, after = cased[:start], cased[stop:]
+    for m in (_CODE_BEFORE.search(before), _CODE_AFTER.match(after)):
+        if m and m[1] in CURRENCY_CODES:
+            return m[1]
+    for sign in (before.rstrip(" ")[-1:], after.lstrip(" ")[:1]):
+        if sign and sign not in "$" and unicodedata.category(sign) == "Sc":
+            return sign
+    return None
+
+
 def _value(digits: str, scaled: bool) -> Decimal:
     """The number written; one separator before one or two last digits is the decimal mark."""
     plain = re.sub(r"[ '’]", "", digits)
@@ -209,22 +257,48 @@ def _value(digits: str, scaled: bool) -> Decimal:
 
 
 _PARSED = "low long, high long, currency string, period string"
-_SCANNER: list[UnitScanner] = []
 
 
-def _scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    if not _SCANNER:
-        _SCANNER.append(UnitScanner())
-    scanner = _SCANNER[0]
-    for batch in texts:
-        rows = [scanner.parse(t) or (None, None, None, None) for t in batch]
-        out = pd.DataFrame(rows, columns=["low", "high", "currency", "period"])
-        yield out.astype({"low": "Int64", "high": "Int64"})
+@lru_cache(maxsize=8)
+def _scanner(more: tuple[tuple[str, str, str], ...]) -> UnitScanner:
+    return UnitScanner(more)
+
 
+def stated_pay(text: Column, more: tuple[tuple[str, str, str], ...] = ()) -> Column:
+    """Struct ``(low, high, currency, period)`` of what a pay text states; null fields if it states none.
 
-def stated_pay(text: Column) -> Column:
-    """Struct ``(low, high, currency, period)`` of what a pay text states; null fields if it states none."""
-    return F.pandas_udf(_scan, _PARSED)(text)
+    ``more`` holds aliases beyond those known here, as ``(kind, unit, alias)``.
+    Amounts of 10**13 and more are none.
+    """
+
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scanner = _scanner(more)
+        for batch in texts:
+            rows = [scanner.parse(t) or (None, None, None, None) for t in batch]
+            out = pd.DataFrame(rows, columns=["low", "high", "currency", "period"])
+            yield out.astype({"low": "Int64", "high": "Int64"})
+
+    return F.pandas_udf(scan, _PARSED)(text)
+
+
+#: Largest unit table; it becomes part of the automaton on every worker.
+UNIT_LIMIT = 10_000
+
+
+def unit_aliases(units: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """``(kind, unit, alias)``: the units of the table (a dimension of checked size) as their own aliases."""
+    rows = (
+        units.select("kind", F.trim("unit").alias("unit"))
+        .filter(F.col("kind").isin("currency", "period") & (F.col("unit") != ""))
+        .distinct()
+        .limit(UNIT_LIMIT + 1)
+        .collect()
+    )
+    if len(rows) > UNIT_LIMIT:
+        raise ValueError(f"more than {UNIT_LIMIT} units; give a smaller table")
+    return tuple(
+        sorted((r.kind, r.unit.upper() if r.kind == "currency" else r.unit.lower(), r.unit.lower()) for r in rows)
+    )
 
 
 def to_common_units(
@@ -235,6 +309,7 @@ def to_common_units(
     currency: str = "salary_currency_normalized",
     period: str = "salary_period_normalized",
     country: str = "country",
+    aliases: tuple[tuple[str, str, str], ...] = (),
 ) -> DataFrame:
     """Add ``usd_month_min`` and ``usd_month_max`` (bigint), plus the unit each side was read in.
 
@@ -243,9 +318,10 @@ def to_common_units(
     none. An end that is not given is -1. Both are null where the text states no
     amount, no period or currency is known, or the unit has no factor. Halves
     round up. The unit and country tables are dimensions; extra columns stay.
+    ``aliases`` holds ``(kind, unit, alias)`` beyond those known here.
     """
     own = {n: fresh(df, f"_{n}") for n in ("pay", "cur", "per", "name")}
-    got = df.withColumn(own["pay"], F.when(ref(text).rlike("[0-9]"), stated_pay(ref(text))))
+    got = df.withColumn(own["pay"], F.when(ref(text).rlike("[0-9]"), stated_pay(ref(text), (*aliases, *unit_aliases(units)))))
     name = F.lower(F.trim(ref(country)))
     by_country = countries.select(
         F.explode(F.array(F.lower(F.trim("country")), F.lower(F.trim("code")))).alias(own["name"]),
