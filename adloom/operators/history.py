@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from adloom.functions.names import ref
+from adloom.session import stored
 
 #: Microseconds of a leaf, as a power of two (about three days).
 LEAF = 38
@@ -84,6 +85,8 @@ def coalesce_runs(
         if root:
             finished.append(merged.drop("rank"))
             break
+        # Two branches read the round: what is finished, and what the next one merges. It is worked out once.
+        merged = stored(merged)
         # A node's first run may continue the node before, its last one the node after.
         grows = F.col("first") | F.col("last")
         inner = merged.filter(~grows).drop("rank")
