@@ -1,9 +1,13 @@
 """Personal information in free text: found, and replaced by typed placeholders or surrogates.
 
-A finder marks e-mail addresses, identity numbers, phone numbers, postal
-addresses and names of persons; marks never overlap, the earlier kind wins.
-Names come from what surrounds them (forms of address, greetings, closings,
-introductions); a name once found in a text is found wherever it stands there.
+:mod:`adloom.llm.finder` marks e-mail addresses, identity numbers, phone
+numbers, postal addresses and names of persons; marks never overlap, the
+earlier kind wins. A name once found in a text is found wherever it stands there.
+
+Runs of capitalised words that a text alone leaves undecided are decided by the
+corpus: the runs with a cue of their own (seeded by forms of address, greetings,
+signatures, labels) tell how often each word and each neighbouring word goes
+with a person, and the log odds of both are added up.
 
 Every entity gets a surrogate that depends on a key, its kind and its text:
 digits for digits and letters for letters in the same script and case, names by
@@ -24,218 +28,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions.names import fresh, ref
+from adloom.llm.finder import _KINDS_AFTER, _SPACES, _UP, PART, Entity, Scan, find, found_text
+from adloom.session import stored
 
-KINDS = ("email", "id_number", "phone", "address", "person_name")
-
-_EMAIL = re.compile(
-    r"(?<![\w.+\-@])[\w][\w.+\-]*(?:\s?@\s?|\s?[\[(](?:at|AT)[\])]\s?)"
-    r"[A-Za-z0-9](?:[\w\-]*\w)?(?:(?:\.|\s?[\[(](?:dot|DOT)[\])]\s?)[A-Za-z0-9](?:[\w\-]*\w)?)+(?![\w@])"
-)
-
-# Names of identity numbers.
-_ID_LABEL = (
-    r"(?:NRIC|FIN|NIC(?:\s+no\.?)?|IC|MyKad|[Pp]assport(?:\s+no\.?)?|Personalausweis|[Rr]eisepass|[Nn]ational\s+ID|NI\s+number|"
-    r"SIN|SSN|TFN|PAN|Aadhaar|[Ii]dentity\s+(?:document|card|number)|ID\s+(?:card|no\.?|number))"
-)
-_ID_VALUE = (
-    r"(?:[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|\d{6}-\d{2}-\d{4}|\d{3}-\d{2}-\d{4}|\d{3}[ -]\d{3}[ -]\d{3}|\d{4}\s\d{4}\s\d{4}|"
-    r"\d{9}[vVxX]|\d{12}|[STFGM]\d{7}[A-Z]|[A-Z]{5}\d{4}[A-Z]|[A-Z]\d{2}[A-Z]\d{5}|[A-Z]{1,2}\d{6,8}|[A-Z0-9]{9,10})"
-)
-_ID_LABELLED = re.compile(rf"\b{_ID_LABEL}(?:\s+(?:is|no\.?|number))?\s*:?\s*(?P<v>{_ID_VALUE})(?![\w-])")
-# Layouts that nothing else has; they need no label.
-_ID_BARE = re.compile(
-    r"(?<![\w.\-/+])(?P<v>\d{6}-\d{2}-\d{4}|[STFG]\d{7}[A-Z]|\d{9}[vVxX]|QQ\s\d{2}\s\d{2}\s\d{2}\s[A-D]|[A-Z]\d{2}X\d{5}|N\d{7})(?![\w-])"
-)
-
-_PHONE = re.compile(
-    r"(?<![\w.@/\-+])(?P<v>(?:\+|00)\d{1,3}[ \t\xa0  ./\-]?(?:\(0\)[ \t\xa0  ./\-]?)?\d(?:[ \t\xa0  ./\-]?\d){6,11}"
-    r"|\(\d{3}\)[ \t\xa0]?\d{3}[-. \xa0]\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}-\d{3}-\d{4}"
-    r"|\(0\d{1,4}\)[ \t\xa0  /\-]?\d(?:[ \t\xa0  \-]?\d){5,8}"
-    r"|0\d{1,4}[ \t\xa0  /\-]\d(?:[ \t\xa0  \-]?\d){5,8}|0\d{9,10})(?![\w\-]|[./]\d)"
-)
-_NO_PHONE = re.compile(
-    r"(?:\b(?:row|ticket|order|build|version|code|centre|center|checksum|ref|kennziffer|job|invoice|record)\s*(?:no\.?|number|:|#)?\s*|#|JR-)$", re.I
-)
-
-_UP = "A-ZÀ-ÖØ-ÞŁŚŻŹŠŽČĆĐŃŐŰİŞĞŘŤĎŇĽĀĒĪŌŪ"
-_CAP = rf"[{_UP}][\w'’.\-]*\w"
-_S = r"[^\S\r\n]+"
-_TOWN = rf"(?:St\.\s)?[{_UP}][\w'’\-]+(?:[ -][{_UP}][\w'’\-]+){{0,2}}"
-_KIND_OF_STREET = (
-    r"(?:Road|Rd|Street|St|Avenue|Ave|Lane|Ln|Close|Cl|Mawatha|Mw|Blvd|Boulevard|Drive|Dr|Parade|Pde|Crescent|Cres|Court|Ct|Way|"
-    r"Terrace|Tce|Place|Pl|Gardens|Square|Sq|Walk|Row|Grove|Rise)\b\.?"
-)
-_STREET = rf"(?:[{_UP}][\w'’\-]*\s){{1,3}}{_KIND_OF_STREET}"
-_STRASSE = r"[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|allee|weg|gasse|platz|ufer|ring|damm|markt|hof|steig)|(?:Am|An der|Im|Zum|Zur|Auf der)\s[A-ZÄÖÜ]\w+(?:\s[A-ZÄÖÜ]\w+)?"
-_UNIT = r"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Level|Block|Blk)\s#?\w+,?\s+)?"
-_ADDRESS = re.compile(
-    rf"(?<![\w/#\-])(?P<v>"
-    # Sri Lanka: No. 29/5, Harbour Lane, Galwatte 07
-    rf"(?:No\.?\s?)?\d+(?:/\d+[A-Za-z]?)?[A-Za-z]?,\s+{_STREET},\s+{_TOWN}(?:\s+\d{{1,2}}(?!\d))?"
-    # India: Plot 25, 7th Cross, Old Mill Layout, Belapuram 000612
-    rf"|(?:Plot|Door|H\.?\s?No\.?|Site)\s+(?:No\.?\s?)?\w+,\s+(?:[\w'’\-]+\s){{1,3}}(?:Cross|Main|Street|Road),\s+(?:[{_UP}][\w'’\-]*\s){{1,3}}(?:Layout|Nagar|Colony|Extension|Stage|Block|Enclave),\s+{_TOWN}(?:\s+\d{{6}})?"
-    # Singapore: Blk 231 Harbour Avenue #11-84, Bukit Lorongan 008301
-    rf"|(?:Blk|Block)\s+\w+\s+{_STREET}(?:\s+\d+)?(?:,?\s+#\d+-\d+\w?)?,?\s+{_TOWN}\s+\d{{6}}"
-    # Malaysia: Lot 52, Jalan Kenanga 4, 00085 Johan Bharu
-    rf"|(?:(?:Lot|No\.?|Unit)\s+[\w\-/]+,\s+)?(?:Jalan|Jln\.?|Lorong|Persiaran|Lebuh)\s+[{_UP}][\w'’\-]*(?:\s[{_UP}][\w'’\-]*)?(?:\s\d+(?:/\d+)?[A-Z]?)?,\s+\d{{5}}\s+{_TOWN}"
-    # Germany: Schlossallee 101b, 00883 Münzbrück
-    rf"|(?:{_STRASSE})\s+\d+\s?[a-z]?,\s+\d{{5}}\s+{_TOWN}"
-    # Australia, Canada, United Kingdom
-    rf"|{_UNIT}\d+[A-Za-z]?(?:[-/]\d+)?[A-Za-z]?,?\s+{_STREET},\s+{_TOWN},?\s+(?:(?:NSW|VIC|QLD|SA|WA|TAS|ACT|NT)\s+\d{{4}}"
-    rf"|(?:ON|QC|BC|AB|MB|SK|NS|NB|NL|PE)\s+[A-Z]\d[A-Z]\s?\d[A-Z]\d|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s?\d[A-Z]{{2}})"
-    rf")(?![\w])"
-)
-
-# Forms of address, with the gender they tell.
-FORMS = {
-    "mr": "m", "herr": "m", "herrn": "m", "encik": "m", "tuan": "m", "sir": "m",
-    "ms": "f", "mrs": "f", "miss": "f", "frau": "f", "puan": "f", "cik": "f", "madam": "f",
-    "dr": "", "prof": "", "ir": "",
-}
-_FORM = r"(?:Mr|Ms|Mrs|Miss|Dr|Prof|Herrn?|Frau|Encik|Tuan|Puan|Cik|Madam|Ir)\b\.?"
-# One part of a name: starts with a capital, may hold hyphens and apostrophes.
-_PART = rf"[{_UP}](?:['’][{_UP}])?[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-_INIT = rf"[{_UP}]\."
-_LINK = r"(?:(?:van der|van den|van de|van|von der|von|de la|de|da|di|bin|binti|bte|al|el|ter|Van der|VAN DER|Ó|Ní|Mac)\s+)"
-_LAST = rf"(?:{_LINK}?{_PART})"
-_FULL = rf"(?:(?:{_PART}|{_INIT})(?:{_S}{_INIT})*{_S}{_LAST})"
-_TURNED = rf"(?:{_LAST},{_S}(?:{_PART}|{_INIT})(?:{_S}{_INIT})*)"
-_NAME = rf"(?:{_TURNED}|{_FULL}|{_PART})"
-_TWO = rf"(?:{_TURNED}|{_FULL})"
-_TITLED = rf"(?:(?:{_FORM})\s+)*"
-
-_GREETING = r"(?:Dear|Hi|Hello|Hey|Hallo|Hai|Salam|Liebe[r]?|Guten Tag|Sehr geehrte[r]?|Good (?:morning|afternoon)|Kepada|Selamat pagi)"
-_CLOSING = (
-    r"(?:(?:Kind|Best|Warm)\s+regards|Regards|Many thanks|Thanks|Thank you|Cheers|Viele Grüße|Beste Grüße|Liebe Grüße|"
-    r"Mit freundlichen Grüßen|Freundliche Grüße|Terima kasih|Sekian|Salam hormat|Yang benar|Sincerely|Yours(?: sincerely| faithfully)?)"
-)
-# What stands below a name: a number to call or an address to write to.
-_REACH = r"(?:☎|(?:T|Tel|Mobile|Mob|Phone|Handy|HP)\b\.?:?\s*[+(\d]|\+\d|\(\d|0\d{2,}|\S+\s?(?:@|[\[(]at[\])])\s?\S+\.\S+)"
-_WAYS = rf"(?:{_REACH}|(?:Blk|Lot|Plot|Flat|No\.|\d+[-/]?\d*,?\s[A-ZÄÖÜ])\s?\w)"
-_CONTEXTS = tuple(
-    re.compile(p)
-    for p in (
-        # A form of address before a name.
-        rf"\b(?P<f>{_FORM})\s+(?:{_FORM}\s+)*(?P<v>{_NAME})",
-        # A greeting at the start of a line.
-        rf"(?m)^[\W\d]*{_GREETING}\s+(?P<f>{_FORM}\s+)?(?P<v>{_NAME})(?=\s*[,!:.]|\s*$)",
-        # Introductions and references.
-        rf"\b(?:[Mm]y name is|I am|I'm|[Tt]his is|Applicant:|Bewerbung von|Permohonan daripada|Ich bin|Ich heiße|Nama saya|Saya)\s+(?P<f>{_FORM}\s+)?(?P<v>{_NAME})(?=\s+(?:and I apply|und |dan saya|,))",
-        rf"\b(?:[Cc]andidate|[Ss]poke (?:to|with)|[Ii]nterview with|[Ss]creening call,|[Rr]eferred by|[Bb]ackup is|[Aa]sk(?:ed)? for|[Mm]et with|[Cc]alled|Gespräch mit|Bewerber(?:in)?)\s+(?P<f>{_FORM}\s+)?(?P<v>{_NAME})(?=\s*[.,;!?)\n\r]|\s*$|\s+leads\b|\s+will\b)",
-        rf"\b(?:[Pp]lease write to|[Ww]rite to|[Rr]each|[Cc]ontact|Ansprechpartner(?:in)?:|Hubungi:?|[Cc]ontact person:)\s+(?P<f>{_FORM}\s+)?(?P<v>{_NAME})(?=\s*\()",
-        rf"(?P<v>{_TWO})(?=\s+leads the interviews)",
-        rf"\bwith\s+(?P<f>{_FORM}\s+)?(?P<v>{_TWO})(?=\s+and\s+\d+\s)",
-        # A name alone on the line below a closing.
-        rf"(?m)^[\W\d]*{_CLOSING}\s*[,.!]?[^\S\r\n]*[\r\n]+\s*(?P<f>{_FORM}\s+)?(?P<v>{_NAME})(?=[^\S\r\n]*(?:[\r\n]|\Z))",
-        # One line of something else between the two.
-        rf"(?m)^[\W\d]*{_CLOSING}\s*[,.!]?[^\S\r\n]*[\r\n]+[^\r\n]+[\r\n]+\s*(?P<v>{_TWO}|{_PART}(?=\s*[\r\n]+\s*{_WAYS}))(?=[^\S\r\n]*(?:[\r\n]|\Z))",
-        # A name alone on a line above a way to reach its bearer, or at the end.
-        rf"(?m)^[^\S\r\n]*(?P<v>{_TWO})(?=[^\S\r\n]*[\r\n]+\s*{_WAYS})",
-        rf"(?m)^[^\S\r\n]*(?P<v>{_TWO}|{_PART}(?=\s*[\r\n]+\s*{_REACH}))(?=[^\S\r\n]*[\r\n]+\s*{_REACH})",
-        rf"[\r\n][^\S\r\n]*(?P<v>{_TWO})(?=\s*\Z)",
-    )
-)
-# Capitalised words that are no part of a person's name.
-_NOT_NAMES = frozenset(
-    "the we our you your this that my candidate hiring team manager sir madam all everyone colleagues friday monday tuesday wednesday "
-    "thursday saturday sunday mobile tel phone thanks regards cheers best kind dear hello damen herren interviews questions keep write "
-    "work support budget most some nobody between every last meet order ticket tax checked call ping install see please and for".split()
-)
-_FIRM_AFTER = re.compile(
-    r"\s*(?:&\s+[A-ZÄÖÜ]|(?:[A-ZÄÖÜ][\w-]+\s+)?(?:Pte|Pvt|\(Pvt\)|Sdn|GmbH|AG|Ltd|Inc|LLC|PLC|Group|Labs|Analytics|Networks|Digital|Studio|"
-    r"Systems|Technologies|Software|Consulting|Staffing|Solutions|Holdings)\b)"
-)
-_SPACES = re.compile(r"\s+")
-_PARTS = re.compile(rf"(?<![\w@]){_PART}(?![\w@])")
-_JOINED = re.compile(rf"{_S}(?:{_INIT}{_S})*{_LINK}?|,{_S}")
-_LEAD_INIT = re.compile(rf"(?<!\w){_INIT}{_S}\Z")
-
-
-class Entity:
-    """A found piece of personal information."""
-
-    __slots__ = ("end", "gender", "kind", "start", "text")
-
-    def __init__(self, kind: str, start: int, end: int, text: str, gender: str = "") -> None:
-        self.kind, self.start, self.end, self.text, self.gender = kind, start, end, text, gender
-
-
-def _plausible(text: str) -> bool:
-    parts = [p for p in re.split(r"[\s,.]+", text) if len(p) > 1]
-    if not parts or any(p.lower() in _NOT_NAMES for p in parts):
-        return False
-    # No name is a run of one or two letters, or longer than a line of a form.
-    return all(len(p) <= 30 and (len(p) < 4 or len(set(p.lower())) > 2) for p in parts)
-
-
-def find(text: str | None) -> list[Entity]:
-    """All entities of a text in the order they stand; none for null and empty texts."""
-    if not text:
-        return []
-    taken = bytearray(len(text))
-    out: list[Entity] = []
-
-    def add(kind: str, start: int, end: int, gender: str = "") -> bool:
-        while end > start and text[end - 1].isspace():
-            end -= 1
-        if end <= start or any(taken[start:end]):
-            return False
-        taken[start:end] = b"\x01" * (end - start)
-        out.append(Entity(kind, start, end, text[start:end], gender))
-        return True
-
-    if "@" in text or "at" in text or "AT" in text:
-        for m in _EMAIL.finditer(text):
-            add("email", m.start(), m.end())
-    for pattern in (_ID_LABELLED, _ID_BARE):
-        for m in pattern.finditer(text):
-            if any(c.isdigit() for c in m["v"]):
-                add("id_number", m.start("v"), m.end("v"))
-    for m in _ADDRESS.finditer(text):
-        add("address", m.start("v"), m.end("v"))
-    for m in _PHONE.finditer(text):
-        if not _NO_PHONE.search(text[max(0, m.start() - 24) : m.start()]) and 8 <= sum(c.isdigit() for c in m["v"]) <= 15:
-            add("phone", m.start("v"), m.end("v"))
-    people: dict[str, str] = {}
-    for pattern in _CONTEXTS:
-        for m in pattern.finditer(text):
-            start, end = m.span("v")
-            if not _plausible(m["v"]) or _FIRM_AFTER.match(text, end) or text[max(0, start - 2) : start] == "& ":
-                continue
-            form = (m.groupdict().get("f") or "").strip().rstrip(".").lower()
-            if add("person_name", start, end, FORMS.get(form.split()[0], "") if form else ""):
-                for part in re.findall(_PART, m["v"]):
-                    if len(part) > 2:
-                        people.setdefault(part.lower(), out[-1].gender)
-    if people:
-        # The same person elsewhere in the text, in full or by one name.
-        runs: list[list[int]] = []
-        for m in _PARTS.finditer(text):
-            if m.group().lower() not in people or text[m.start()].islower():
-                continue
-            if runs and _JOINED.fullmatch(text, runs[-1][1], m.start()):
-                runs[-1][1] = m.end()
-            else:
-                lead = _LEAD_INIT.search(text, max(0, m.start() - 4), m.start())
-                runs.append([lead.start() if lead else m.start(), m.end()])
-        for start, end in runs:
-            around = text[max(0, start - 2) : start]
-            if _FIRM_AFTER.match(text, end) or around == "& " or around[-1:] in "@.-_" and around[-1:]:
-                continue
-            if text[end : end + 1] not in ("@", "_"):
-                add("person_name", start, end, people.get(text[start:end].split()[-1].lower(), ""))
-    out.sort(key=lambda e: e.start)
-    return out
-
-
-def found_text(e: Entity) -> str:
-    """The entity as written, each run of white space as one blank, without a closing mark."""
-    t = _SPACES.sub(" ", e.text).strip()
-    return t.rstrip(",;:") if e.kind != "address" else t.rstrip(",;:.")
+_PART = PART
+_KIND_OF_STREET = rf"(?:{_KINDS_AFTER})\b\.?"
 
 
 class Surrogates:
@@ -294,7 +95,7 @@ class Surrogates:
 
         def make(b: bytes, more: int) -> str:
             ends = self._ENDS[gender if first else "l"] if first else self._ENDS["l"]
-            return self._STARTS[b[0] % 20] + self._MIDDLES[b[1] % 12] + further(b, more) + ends[b[2] % len(ends)]
+            return self._STARTS[b[0] % 20] + self._MIDDLES[b[1] % 12] + further(b, more + (not first)) + ends[b[2] % len(ends)]
 
         def further(b: bytes, more: int) -> str:
             return "".join(self._MIDDLES[b[(3 + k) % len(b)] % 12] for k in range(more))
@@ -304,12 +105,14 @@ class Surrogates:
 
     @staticmethod
     def shaped(text: str, b: bytes) -> str:
-        """Digits for digits and letters for letters, everything else as it is."""
+        """Digits for digits and letters for letters, everything else as it is; a zero in front stays."""
         out, k = [], 0
+        front = next((c for c in text if c.isdigit()), "") == "0"
         for c in text:
             v = b[k % len(b)] + 31 * (k // len(b))
             if c.isdigit():
-                out.append(str((v % 9) + 1) if c != "0" else "0")
+                out.append("0" if front else str(v % 10))
+                front = False
             elif c.isascii() and c.isalpha():
                 base = 65 if c.isupper() else 97
                 out.append(chr(base + v % 26))
@@ -385,11 +188,11 @@ def _people(entities: list[Entity]) -> dict[int, tuple[str, ...]]:
     return out
 
 
-def replaced(text: str | None, key: bytes) -> tuple[str | None, str | None, list[tuple[str, str, str]]]:
+def replaced(text: str | None, key: bytes, people: frozenset[str] = frozenset()) -> tuple[str | None, str | None, list[tuple[str, str, str]]]:
     """The text with placeholders, the text with surrogates, and ``(kind, found_text, surrogate)`` rows."""
     if not text:
         return text, text, []
-    entities = find(text)
+    entities = find(text, people)
     maker = Surrogates(key, text)
     people = _people(entities)
     numbers: dict[tuple[str, object], int] = {}
@@ -409,6 +212,102 @@ def replaced(text: str | None, key: bytes) -> tuple[str | None, str | None, list
     return "".join(marked) + text[at:], "".join(faked) + text[at:], rows
 
 
+_ROW = "array<struct<pii_kind: string, found_text: string>>"
+_RUNS = "array<struct<said: string, label: int, before: string, after: string>>"
+_SCANNED = pa.struct(
+    [
+        ("found", pa.list_(pa.struct([("pii_kind", pa.string()), ("found_text", pa.string())]))),
+        ("runs", pa.list_(pa.struct([("said", pa.string()), ("label", pa.int32()), ("before", pa.string()), ("after", pa.string())]))),
+    ]
+)
+
+
+def scanned(text: Column) -> Column:
+    """Struct of the distinct entities of a text by itself and of its runs of capitalised words with their labels."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for t in batch.to_pylist():
+                scan = Scan(t)
+                found = dict.fromkeys((e.kind, found_text(e)) for e in scan.entities)
+                runs = dict.fromkeys((r.text, r.label, r.before, r.after) for r in scan.runs)
+                rows.append(
+                    {
+                        "found": [{"pii_kind": k, "found_text": v} for k, v in found],
+                        "runs": [{"said": s, "label": n, "before": b, "after": a} for s, n, b, a in runs],
+                    }
+                )
+            yield pa.array(rows, _SCANNED)
+
+    # Searched once: the optimizer may not repeat it where parts of the result are asked for.
+    return F.arrow_udf(run, f"struct<found: {_ROW}, runs: {_RUNS}>").asNondeterministic()(text)
+
+
+#: Occurrences that every word and surrounding is given beforehand, at the rate of the corpus.
+PRIOR = 0.5
+#: Log odds from which an undecided run is a person's name.
+NAME = 1.0
+
+
+def corpus_names(runs: DataFrame) -> DataFrame:
+    """``(doc, said)`` of the undecided runs that the corpus takes for persons' names.
+
+    ``runs`` has ``(doc, said, label, before, after)``. Every word of a run, the
+    words before it and the word after it are evidence: how much more often than
+    on the whole they go with runs labelled as persons. Undecided runs stand for
+    what is no person, so a surrounding with many known names among them speaks
+    for the rest: words are weighed by labels, surroundings by the words known there.
+    """
+    undecided = F.col("label").isNull()
+    # Same runs in the same surroundings count once with their number.
+    kinds = runs.groupBy("said", "label", "before", "after").agg(F.count("*").alias("n")).withColumn("yes", F.coalesce("label", F.lit(0)))
+    words = F.array_distinct(F.filter(F.split(F.lower("said"), r"[\s,]+"), lambda w: F.length(w) > 2))
+    spoken = kinds.withColumn("word", F.explode(words))
+    by_word = spoken.groupBy("word").agg(F.sum(F.col("n") * F.col("yes")).alias("y"), F.sum(F.col("n") * (1 - F.col("yes"))).alias("o"))
+    # What is known of a run by its words alone; null where no word is known as a name's or as another's.
+    odds = F.log((F.col("y") + PRIOR) / (F.col("o") + PRIOR))
+    asked = kinds.filter(undecided).select("said").distinct()
+    by_run = (
+        asked.withColumn("word", F.explode(words))
+        .join(by_word, "word")
+        .groupBy("said")
+        # An undecided run adds itself to the others; a word seen nowhere else says nothing.
+        .agg(F.sum(F.when(F.col("y") + F.col("o") > 1, odds).otherwise(0.0)).alias("odds"))
+    )
+    judged = kinds.filter(undecided).join(by_run, "said", "left").select(
+        "said", "before", "after", "n", F.coalesce("odds", F.lit(0.0)).alias("odds")
+    )
+    # Surroundings of undecided runs: how many of them hold known names.
+    sure_yes, sure_no = F.col("odds") > 1.0, F.col("odds") < -1.0
+    side = judged.select(
+        F.explode(F.array(F.concat(F.lit("<"), F.col("before")), F.concat(F.lit(">"), F.col("after")), F.concat_ws(" _ ", "before", "after"))).alias("side"),
+        F.when(sure_yes, F.col("n")).otherwise(0).alias("y"),
+        F.when(sure_no, F.col("n")).otherwise(0).alias("o"),
+    )
+    by_side = side.groupBy("side").agg(F.sum("y").alias("y"), F.sum("o").alias("o"))
+    near = F.log((F.col("y") + PRIOR) / (F.col("o") + PRIOR))
+    both = judged.withColumn("side", F.concat_ws(" _ ", "before", "after")).join(
+        by_side.select("side", near.alias("near")), "side", "left"
+    )
+    left = by_side.select(F.col("side").alias("lead"), near.alias("ahead"))
+    names = (
+        both.withColumn("lead", F.concat(F.lit("<"), F.col("before")))
+        .join(left, "lead", "left")
+        .filter(F.col("odds") + (F.coalesce("near", F.lit(0.0)) + F.coalesce("ahead", F.lit(0.0))) / 2 > NAME)
+        .select("said", "before", "after")
+    )
+    return runs.filter(undecided).join(names, ["said", "before", "after"], "left_semi").select("doc", "said").distinct()
+
+
+def _with_people(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scanned documents ``(doc_id, found, runs)``, stored, and ``(doc_id, people)`` of those with names by the corpus."""
+    own = stored(documents.select("doc_id", scanned(F.col("text")).alias("_s")).select("doc_id", "_s.found", "_s.runs"))
+    runs = own.select(F.col("doc_id").alias("doc"), F.explode("runs").alias("_r")).select("doc", "_r.*")
+    people = corpus_names(runs).groupBy("doc").agg(F.collect_set("said").alias("people"))
+    return own, people.select(F.col("doc").alias("doc_id"), "people")
+
+
 _SCHEMA = "redacted string, surrogate string, found array<struct<pii_kind: string, found_text: string, surrogate: string>>"
 _ARROW = pa.struct(
     [
@@ -419,21 +318,25 @@ _ARROW = pa.struct(
 )
 
 
-def with_personal(df: DataFrame, text: str = "text", out: str = "personal", key: str = "adloom") -> DataFrame:
+def with_personal(df: DataFrame, key: str, text: str = "text", out: str = "personal", people: str | None = None) -> DataFrame:
     """Add ``out``: struct of the redacted text, the surrogate text and what was found.
 
     Placeholders are ``[KIND_n]``, numbered within the text; equal entities share
-    a number, and so does a person named in full and by one name. Null and empty texts come out as they are with nothing found.
-    Whole texts are searched, however long; extra columns are kept. ``key``
-    decides the surrogates.
+    a number, and so does a person named in full and by one name. Null and empty
+    texts come out as they are with nothing found. Whole texts are searched,
+    however long; extra columns are kept. ``key`` decides the surrogates and must
+    be kept secret: who knows it can test guesses of the originals. ``people``
+    names a column of full names known otherwise.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     secret = key.encode()
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names in batches:
             rows = []
-            for t in batch.to_pylist():
-                redacted, surrogate, found = replaced(t, secret)
+            for t, known in zip(texts.to_pylist(), names.to_pylist()):
+                redacted, surrogate, found = replaced(t, secret, frozenset(known or ()))
                 rows.append(
                     {
                         "redacted": redacted,
@@ -443,20 +346,34 @@ def with_personal(df: DataFrame, text: str = "text", out: str = "personal", key:
                 )
             yield pa.array(rows, _ARROW)
 
-    # Searched once: the optimizer may not repeat it where parts of the result are asked for.
     search = F.arrow_udf(run, _SCHEMA).asNondeterministic()
-    return df.withColumn(fresh(df, out), search(ref(text)))
+    known = ref(people) if people else F.array().cast("array<string>")
+    return df.withColumn(fresh(df, out), search(ref(text), known))
 
 
-def personal_found(documents: DataFrame, key: str = "adloom") -> DataFrame:
+def personal_found(documents: DataFrame) -> DataFrame:
     """``(doc_id, pii_kind, found_text)`` of every entity, no row twice."""
-    marked = with_personal(documents.select("doc_id", "text"), key=key)
-    return marked.select("doc_id", F.explode("personal.found").alias("_f")).select(
-        "doc_id", "_f.pii_kind", "_f.found_text"
-    ).distinct()
+    own, people = _with_people(documents)
+    alone = own.join(people, "doc_id", "left_anti").select("doc_id", "found")
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, names in batches:
+            yield pa.array(
+                [
+                    [{"pii_kind": e.kind, "found_text": found_text(e)} for e in find(t, frozenset(known))]
+                    for t, known in zip(texts.to_pylist(), names.to_pylist())
+                ],
+                _SCANNED.field("found").type,
+            )
+
+    again = documents.select("doc_id", "text").join(people, "doc_id")
+    told = again.select("doc_id", F.arrow_udf(run, _ROW).asNondeterministic()(F.col("text"), F.col("people")).alias("found"))
+    return alone.unionByName(told).select("doc_id", F.explode("found").alias("_f")).select("doc_id", "_f.*").distinct()
 
 
-def readable_texts(documents: DataFrame, key: str = "adloom") -> DataFrame:
+def readable_texts(documents: DataFrame, key: str) -> DataFrame:
     """``(doc_id, redacted, surrogate, n_found)`` of every document."""
-    marked = with_personal(documents.select("doc_id", "text"), key=key)
+    _, people = _with_people(documents)
+    asked = documents.select("doc_id", "text").join(people, "doc_id", "left")
+    marked = with_personal(asked, key, people="people")
     return marked.select("doc_id", "personal.redacted", "personal.surrogate", F.size("personal.found").alias("n_found"))

@@ -124,4 +124,5 @@ def p10_found(spark, sf_dir):
 
 @catalogue.add("p10_texts")
 def p10_texts(spark, sf_dir):
-    return personal.readable_texts(table(spark, sf_dir, "documents"))
+    # A key for the test tables only; every corpus takes a secret one of its own.
+    return personal.readable_texts(table(spark, sf_dir, "documents"), key="key of the test tables")

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from adloom.llm import boilerplate, cooccurrence, matching, packing, personal, queries, tokens, truncation
+from tests.llm import heldout
 from tests.oracle import connection, difference
 
 
@@ -359,9 +360,31 @@ def test_surrogates_stay_distinct():
 def test_odd_documents(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " ", "x"), (4, TEXT * 40, "x"), (5, "a@b.example", "x"), (5, "a@b.example", "x"), (6, "(" * 5000 + "0" * 5000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, personal string")
-    assert personal.with_personal(df).columns == ["doc_id", "text", "personal", "personal_1"]
+    assert personal.with_personal(df, "k").columns == ["doc_id", "text", "personal", "personal_1"]
     assert personal.personal_found(df).filter("doc_id in (1, 2, 3, 6)").count() == 0
     assert personal.personal_found(df).filter("doc_id = 5").count() == 1
-    out = {r.doc_id: r for r in personal.readable_texts(df).collect()}
+    out = {r.doc_id: r for r in personal.readable_texts(df, "k").collect()}
     assert out[1].redacted is None and out[2].redacted == "" and out[5].redacted == "[EMAIL_1]"
     assert personal.personal_found(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        personal.with_personal(df, "")
+
+
+def test_held_out_sentences():
+    right = wanted = wrong = 0
+    for text, true in heldout.HELD_OUT:
+        got = {(e.kind, personal.found_text(e)) for e in personal.find(text)}
+        right, wanted, wrong = right + len(got & true), wanted + len(true), wrong + len(got - true)
+    assert right >= 0.9 * wanted and wrong <= 0.1 * wanted
+    assert not any(personal.find(t) for t in heldout.NOTHING)
+
+
+def test_names_by_the_corpus(spark):
+    """A run without a cue is a name where its words or its surroundings are those of persons."""
+    texts = [f"Dear Ms {n},\nall is well." for n in ("Farkuna Toloma", "Birelle Santor", "Mokani Deshun") for _ in range(3)]
+    texts += [f"We ship crates beside {n} and 4 drivers." for n in ("Farkuna Toloma", "Birelle Santor", "Mokani Deshun", "Unseen Velkor")]
+    texts += [f"We ship crates into {n} by truck." for n in ("Harbour Point", "Harbour Gate", "Mill Gate", "Mill Point")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.found_text) for r in personal.personal_found(df).collect()}
+    assert {(9, "Farkuna Toloma"), (10, "Birelle Santor"), (11, "Mokani Deshun"), (12, "Unseen Velkor")} <= got
+    assert not any(d >= 13 for d, _ in got)
