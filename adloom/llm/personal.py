@@ -222,23 +222,29 @@ _SCANNED = pa.struct(
 )
 
 
+def _lists(rows: list[tuple], ends: list[int], kind: pa.ListType) -> pa.ListArray:
+    """An array of lists of structs, column by column."""
+    fields = list(kind.value_type)
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=kind)
+
+
 def scanned(text: Column) -> Column:
     """Struct of the distinct entities of a text by itself and of its runs of capitalised words with their labels."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = []
+            found, runs, f_at, r_at = [], [], [0], [0]
             for t in batch.to_pylist():
                 scan = Scan(t)
-                found = dict.fromkeys((e.kind, found_text(e)) for e in scan.entities)
-                runs = dict.fromkeys((r.text, r.label, r.before, r.after) for r in scan.runs)
-                rows.append(
-                    {
-                        "found": [{"pii_kind": k, "found_text": v} for k, v in found],
-                        "runs": [{"said": s, "label": n, "before": b, "after": a} for s, n, b, a in runs],
-                    }
-                )
-            yield pa.array(rows, _SCANNED)
+                found += dict.fromkeys((e.kind, found_text(e)) for e in scan.entities)
+                runs += dict.fromkeys((r.text, r.label, r.before, r.after) for r in scan.runs)
+                f_at.append(len(found))
+                r_at.append(len(runs))
+            yield pa.StructArray.from_arrays(
+                [_lists(found, f_at, _SCANNED.field("found").type), _lists(runs, r_at, _SCANNED.field("runs").type)], fields=list(_SCANNED)
+            )
 
     # Searched once: the optimizer may not repeat it where parts of the result are asked for.
     return F.arrow_udf(run, f"struct<found: {_ROW}, runs: {_RUNS}>").asNondeterministic()(text)
@@ -261,7 +267,7 @@ def corpus_names(runs: DataFrame) -> DataFrame:
     """
     undecided = F.col("label").isNull()
     # Same runs in the same surroundings count once with their number.
-    kinds = runs.groupBy("said", "label", "before", "after").agg(F.count("*").alias("n")).withColumn("yes", F.coalesce("label", F.lit(0)))
+    kinds = stored(runs.groupBy("said", "label", "before", "after").agg(F.count("*").alias("n"))).withColumn("yes", F.coalesce("label", F.lit(0)))
     words = F.array_distinct(F.filter(F.split(F.lower("said"), r"[\s,]+"), lambda w: F.length(w) > 2))
     spoken = kinds.withColumn("word", F.explode(words))
     by_word = spoken.groupBy("word").agg(F.sum(F.col("n") * F.col("yes")).alias("y"), F.sum(F.col("n") * (1 - F.col("yes"))).alias("o"))
@@ -275,8 +281,10 @@ def corpus_names(runs: DataFrame) -> DataFrame:
         # An undecided run adds itself to the others; a word seen nowhere else says nothing.
         .agg(F.sum(F.when(F.col("y") + F.col("o") > 1, odds).otherwise(0.0)).alias("odds"))
     )
-    judged = kinds.filter(undecided).join(by_run, "said", "left").select(
-        "said", "before", "after", "n", F.coalesce("odds", F.lit(0.0)).alias("odds")
+    judged = stored(
+        kinds.filter(undecided)
+        .join(by_run, "said", "left")
+        .select("said", "before", "after", "n", F.coalesce("odds", F.lit(0.0)).alias("odds"))
     )
     # Surroundings of undecided runs: how many of them hold known names.
     sure_yes, sure_no = F.col("odds") > 1.0, F.col("odds") < -1.0
