@@ -90,18 +90,36 @@ def pieces(page: str | None) -> list[tuple[int, str, str]]:
     return out
 
 
+def any_of(words: list[str]) -> re.Pattern:
+    """A pattern for whole words or phrases of a list, longest first; shared beginnings are read once."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        if w:
+            node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(c) + pattern(n) for c, n in node.items() if c]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return inner + "?" if "" in node else inner
+
+    if not tree:
+        return re.compile("(?!)")
+    first = "".join(sorted(re.escape(c) for c in tree))
+    # Where no word can start, none is tried.
+    return re.compile(rf"(?<!\w)(?=[{first}]){pattern(tree)}(?!\w)")
+
+
 class Wording:
     """The wording of a piece: its whole text in slots."""
 
     def __init__(self, places: list[str], titles: list[str], skills: list[str]) -> None:
-        def pattern(words: list[str]) -> re.Pattern:
-            known = sorted({w for w in words if w}, key=lambda w: (-len(w), w))
-            # Where no word can start, none is tried.
-            first = "".join(sorted({re.escape(w[0]) for w in known}))
-            return re.compile(rf"(?<!\w)(?=[{first}])(?:{'|'.join(map(re.escape, known))})(?!\w)" if known else "(?!)")
-
         self.slots = (
-            (pattern(titles), "\x02"), (_FIRM_NAME, "\x03"), (pattern(skills), "\x04"), (pattern(places), "\x05"),
+            (any_of(titles), "\x02"), (_FIRM_NAME, "\x03"), (any_of(skills), "\x04"), (any_of(places), "\x05"),
         )
         self._short = lru_cache(maxsize=1 << 15)(self.compute)
 

@@ -26,10 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.boilerplate import Wording, _bounded
+from adloom.llm.boilerplate import _FIRM_NAME, _FIRM_WORD, Wording, _bounded
 from adloom.session import stored
 
 #: Share of values cut at no limit (transfers that broke off), before any evidence.
@@ -44,6 +45,8 @@ BROKEN = 1e4
 RECURS = 5
 #: Share of endings never seen before that are whole all the same.
 NEW = 0.012
+#: Log likelihood ratio from which a length is more frequent than its surroundings.
+UNLIKELY = 7.5
 #: Characters below a limit that still count as at the limit (words kept whole, blanks cut, marks added).
 REACH = 12
 
@@ -68,7 +71,8 @@ class Units:
     def compute(self, unit: str) -> str:
         t = _BULLET.sub("", unit)
         for pattern, slot in self.slots:
-            t = pattern.sub(f" {slot} ", t)
+            if pattern is not _FIRM_NAME or _FIRM_WORD.search(t):
+                t = pattern.sub(f" {slot} ", t)
         return " ".join(_NOISE.sub(" ", _DIGITS.sub("9", t)).lower().split())
 
     @staticmethod
@@ -81,78 +85,99 @@ def _units(vocabulary: tuple[tuple[str, ...], ...]) -> Units:
     return Units(vocabulary)
 
 
-def whole_units(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """``(unit, n)``: the units known to be whole, as another follows, and how often they occur."""
+def openings(unit: str) -> list[int]:
+    """A hash of the first ``i`` words of a unit for every ``i``, each from the one before."""
+    out, h = [], 0
+    for w in unit.split(" "):
+        h = xxhash.xxh3_64_intdigest(w, seed=h)
+        out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _units(vocabulary)
-        for batch in batches:
-            # One batch is summed before it leaves the worker.
-            seen: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    parts = units.cut(text)
-                    seen.update(units.words(p) for p in parts[:-1])
-                    if parts and _CLOSED.search(parts[-1]) and not _OMITTED.search(parts[-1]):
-                        seen[units.words(parts[-1])] += 1
-            seen.pop("", None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"]
-            )
 
-    return values.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+_CUT = "key string, field string, source string, length long, unit string, opens array<long>, factor double, n long"
+_CUT_ARROW = pa.schema(
+    [
+        ("key", pa.string()), ("field", pa.string()), ("source", pa.string()), ("length", pa.int64()), ("unit", pa.string()),
+        ("opens", pa.list_(pa.int64())), ("factor", pa.float64()), ("n", pa.int64()),
+    ]
+)
+#: Distinct units that a worker sums before it passes them on.
+SUMMED = 100_000
 
 
-def last_units(text: Column, vocabulary: tuple[tuple[str, ...], ...]) -> Column:
-    """Struct ``(unit, factor)`` of the last unit of an open-ended text; null if it has a closing mark.
+def cut_units(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """One pass over all texts: rows of units known to be whole, and rows of open last units.
 
-    ``factor`` is what marks of omission at the end add to the odds.
+    A whole unit (another follows, or it has a closing mark) has ``n``, how often
+    it occurs; a last unit without a closing mark has the ``key``, ``field``,
+    ``source`` and ``length`` of its text and ``factor``, what marks of omission
+    add to the odds. ``opens`` are the :func:`openings`; last units have the two
+    longest only (all but the last word, and all).
     """
-    kind = pa.struct([("unit", pa.string()), ("factor", pa.float64())])
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _units(vocabulary)
+        seen: Counter[str] = Counter()
+
+        def summed() -> pa.RecordBatch:
+            seen.pop("", None)
+            said = list(seen)
+            none, nothing = pa.nulls(len(said), pa.string()), pa.nulls(len(said), pa.int64())
+            columns = [
+                none, none, none, nothing, pa.array(said, pa.string()), pa.array(map(openings, said), pa.list_(pa.int64())),
+                pa.nulls(len(said), pa.float64()), pa.array(seen.values(), pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema=_CUT_ARROW)
+
         for batch in batches:
-            out = []
-            for value in batch.to_pylist():
-                t = value.rstrip() if value else ""
-                mark = _OMITTED.search(t) if t else None
-                if not t or (mark is None and _CLOSED.search(t)):
-                    out.append(None)
+            last = []
+            for key, field, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                t = text.rstrip() if text else ""
+                if not t:
                     continue
+                mark = _OMITTED.search(t)
+                closed = mark is None and _CLOSED.search(t)
                 parts = units.cut(t[: mark.start()] if mark else t)
-                factor = BROKEN if _BROKEN.search(t) else MARKED if mark else 1.0
-                out.append({"unit": units.words(parts[-1]) if parts else "", "factor": factor})
-            yield pa.array(out, kind)
-
-    return F.arrow_udf(run, "unit string, factor double").asNondeterministic()(text)
-
-
-def _contexts(words: Column, i: Column) -> Column:
-    """The contexts that end with the first ``i`` words, most specific first."""
+                seen.update(map(units.words, parts if closed else parts[:-1]))
+                if not closed:
+                    factor = BROKEN if _BROKEN.search(t) else MARKED if mark else 1.0
+                    unit = units.words(parts[-1]) if parts else ""
+                    last.append((key, field, source, len(text), unit, openings(unit)[-2:], factor, None))
+            if last:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*last), _CUT_ARROW)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CUT_ARROW)
+            if len(seen) >= SUMMED:
+                yield summed()
+                seen.clear()
+        yield summed()
+
+    return values.select("key", "field", "source", "text").mapInArrow(run, _CUT)
+
+
+def _contexts(words: Column, i: Column, opening: Column) -> Column:
+    """Keys of the contexts that end with the first ``i`` words, most specific first; each has a bounded number of words."""
     last = F.get(words, i - 1)
     before = F.coalesce(F.get(words, i - 2), F.lit("^"))
     third = F.coalesce(F.get(words, i - 3), F.lit("^"))
-    start = F.concat_ws(" ", F.get(words, F.lit(0)), F.when(i > 1, F.get(words, F.lit(1))))
+    one, two = F.get(words, F.lit(0)), F.when(i > 1, F.get(words, F.lit(1)))
     return F.array(
-        F.concat(F.lit("0 "), F.array_join(F.slice(words, F.lit(1), i), " ")),
-        F.concat_ws(" ", F.lit("1"), start, F.lit("..."), before, last),
-        F.concat_ws(" ", F.lit("2"), start, F.lit("..."), last),
-        F.concat_ws(" ", F.lit("3"), third, before, last),
-        F.concat_ws(" ", F.lit("4"), before, last),
-        F.concat_ws(" ", F.lit("5"), last),
+        F.xxhash64(F.lit(0), opening),
+        F.xxhash64(F.lit(1), one, two, before, last),
+        F.xxhash64(F.lit(2), one, two, F.lit("..."), last),
+        F.xxhash64(F.lit(3), third, before, last),
+        F.xxhash64(F.lit(4), before, last),
+        F.xxhash64(F.lit(5), last),
     )
 
 
 def context_counts(units: DataFrame) -> DataFrame:
     """``(context, seen, ends)``: how often a context of words occurs and how often its unit ends there."""
-    words = F.split("unit", " ")
     steps = F.transform(
         F.sequence(F.lit(1), F.size("_w")),
-        lambda i: F.struct(_contexts(F.col("_w"), i).alias("c"), (i == F.size("_w")).alias("e")),
+        lambda i: F.struct(_contexts(F.col("_w"), i, F.get("opens", i - 1)).alias("c"), (i == F.size("_w")).alias("e")),
     )
     return (
-        units.select(words.alias("_w"), "n")
+        units.select(F.split("unit", " ").alias("_w"), "opens", "n")
         .select("n", F.explode(steps).alias("_s"))
         .select("n", F.col("_s.e").alias("_e"), F.explode("_s.c").alias("context"))
         .groupBy("context")
@@ -160,27 +185,37 @@ def context_counts(units: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of the beginning of a word in its key; longer beginnings are told apart by their length as well.
+BEGINNING = 64
+
+
+def _beginning(before: Column, start: Column) -> Column:
+    return F.xxhash64(before, F.substring(start, 1, BEGINNING))
+
+
 def word_beginnings(units: DataFrame) -> DataFrame:
-    """``(beginning)``: distinct ``word before + proper beginning of the word after it`` in whole units."""
+    """``(beginning, longest)``: keys of a word before and a beginning of the word after it, and the longest such word."""
     words = F.split("unit", " ")
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("_w")),
-        lambda i: F.concat_ws(" ", F.coalesce(F.get(F.col("_w"), i - 2), F.lit("^")), F.get(F.col("_w"), i - 1)),
+        lambda i: F.struct(F.coalesce(F.get(F.col("_w"), i - 2), F.lit("^")).alias("b"), F.get(F.col("_w"), i - 1).alias("w")),
     )
     return (
         units.select(words.alias("_w"))
         .select(F.explode(pairs).alias("_p"))
         .distinct()
-        .filter(F.length(F.substring_index("_p", " ", -1)) > 1)
+        .filter(F.length("_p.w") > 1)
         .select(
+            F.length("_p.w").alias("length"),
             F.explode(
                 F.transform(
-                    F.sequence(F.length(F.substring_index("_p", " ", 1)) + 2, F.length("_p") - 1),
-                    lambda k: F.substring(F.col("_p"), F.lit(1), k),
+                    F.sequence(F.lit(1), F.least(F.length("_p.w"), F.lit(BEGINNING))),
+                    lambda k: F.xxhash64(F.col("_p.b"), F.substring(F.col("_p.w"), F.lit(1), k)),
                 )
-            ).alias("beginning")
+            ).alias("beginning"),
         )
-        .distinct()
+        .groupBy("beginning")
+        .agg(F.max("length").alias("longest"))
     )
 
 
@@ -196,14 +231,15 @@ def censored_fit(x: np.ndarray, n: np.ndarray, limit: float, rounds: int = 40) -
         return float(np.average(x, weights=n)), 1.0
     mean = float(np.average(x[free], weights=n[free]))
     dev = max(float(np.sqrt(np.average((x[free] - mean) ** 2, weights=n[free]))), 1e-3)
+    first, square = float((x[free] * n[free]).sum()), float((x[free] ** 2 * n[free]).sum())
     for _ in range(rounds):
         z = (limit - mean) / dev
         tail = max(0.5 * math.erfc(z / math.sqrt(2.0)), 1e-12)
         hazard = math.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) / tail
         e1 = mean + dev * hazard
         e2 = mean * mean + dev * dev + dev * hazard * (limit + mean)
-        new = (float((x[free] * n[free]).sum()) + cut * e1) / total
-        second = (float((x[free] ** 2 * n[free]).sum()) + cut * e2) / total
+        new = (first + cut * e1) / total
+        second = (square + cut * e2) / total
         spread = math.sqrt(max(second - new * new, 1e-6))
         done = abs(new - mean) + abs(spread - dev) < 1e-6
         mean, dev = new, spread
@@ -220,9 +256,14 @@ def censoring(hist: pd.DataFrame) -> pd.DataFrame:
     post = np.full(len(length), BASE)
     limits = np.zeros(len(length), dtype=np.int64)
     # A limit: a length that is frequent beside its wider surroundings, with little above it.
-    surround = np.array([n[(length >= a - 60) & (length <= a - 2)].sum() / 59 for a in length])
+    summed = np.concatenate([[0.0], np.cumsum(n)])
+    low, high = np.searchsorted(length, length - 60, "left"), np.searchsorted(length, length - 2, "right")
+    surround = (summed[high] - summed[low]) / 59
     above = total - np.cumsum(n)
-    strong = np.where((n >= 8) & (n > 6 * (surround + 0.5)) & (above <= total * 0.5))[0]
+    # Far above the expected number, by ratio and by likelihood: few values need a larger ratio.
+    usual = surround + 0.5
+    likelier = n * np.log(n / usual) - (n - usual)
+    strong = np.where((likelier > UNLIKELY) & (n > 6 * usual) & (above <= total * 0.5))[0]
     done: set[int] = set()
     for k in strong[::-1]:
         if any(0 <= d - length[k] <= REACH for d in done):
@@ -258,21 +299,18 @@ def truncation_odds(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...] =
     have no row; neither have texts that end with a closing mark.
     """
     own = values.filter(F.trim("text") != "")
-    # Distinct units with counts are small beside the texts; three statistics read them.
-    units = stored(whole_units(own, vocabulary))
-    open_ = (
-        own.select(
-            "key", "field", "source", F.length("text").cast("long").alias("length"),
-            last_units(F.col("text"), vocabulary).alias("_u"),
-        )
-        .filter(F.col("_u").isNotNull())
-        .select("key", "field", "source", "length", "_u.unit", "_u.factor")
-    )
+    # The only pass over the texts by Python; units with counts are small beside the texts, three statistics read them.
+    cut = stored(cut_units(own, vocabulary))
+    units = cut.filter(F.col("n").isNotNull()).groupBy("unit").agg(F.first("opens").alias("opens"), F.sum("n").alias("n"))
+    units = stored(units)
+    open_ = cut.filter(F.col("n").isNull()).select("key", "field", "source", "length", "unit", "factor", "opens")
     # Each distinct ending is judged once.
-    endings = open_.groupBy("unit").agg(F.count("*").alias("finals"))
-    asked = endings.select("unit", F.posexplode(_contexts(F.split("unit", " "), F.size(F.split("unit", " ")))))
-    tail = F.element_at(F.split("unit", " "), -1)
-    before = F.coalesce(F.get(F.split("unit", " "), F.size(F.split("unit", " ")) - 2), F.lit("^"))
+    endings = open_.groupBy("unit").agg(F.count("*").alias("finals"), F.first("opens").alias("opens"))
+    words = F.split("unit", " ")
+    whole = F.element_at("opens", -1)
+    asked = endings.select("unit", F.posexplode(_contexts(words, F.size(words), whole)))
+    tail = F.element_at(words, -1)
+    before = F.coalesce(F.get(words, F.size(words) - 2), F.lit("^"))
     counts = context_counts(units)
     got = (
         asked.withColumnRenamed("col", "context")
@@ -281,14 +319,16 @@ def truncation_odds(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...] =
         .groupBy("unit")
         .agg(F.min_by(F.struct("pos", "seen", "ends"), "pos").alias("best"))
     )
-    opening = F.concat(F.lit("0 "), F.regexp_replace("unit", r"(?:^| )[^ ]*$", ""))
-    started = counts.filter(F.col("context").startswith("0 ")).select(F.col("context").alias("opening"), F.lit(True).alias("started"))
+    # Units begin alike if all but the last word was seen as an opening.
+    opening = F.when(F.size("opens") > 1, F.xxhash64(F.lit(0), F.element_at("opens", 1)))
+    started = counts.select(F.col("context").alias("opening"), F.lit(True).alias("started"))
     judged = (
         endings.join(got, "unit", "left")
         .withColumn("opening", opening)
         .join(started, "opening", "left")
-        .withColumn("beginning", F.concat_ws(" ", before, tail))
-        .join(word_beginnings(units).withColumn("inside", F.lit(True)), "beginning", "left")
+        .withColumn("beginning", _beginning(before, tail))
+        .join(word_beginnings(units), "beginning", "left")
+        .withColumn("inside", F.col("longest") > F.length(tail))
     )
     seen, ends = F.col("best.seen"), F.col("best.ends")
     # The last word alone says little: the pair it ends was never seen often enough.
@@ -310,7 +350,8 @@ def truncation_odds(values: DataFrame, vocabulary: tuple[tuple[str, ...], ...] =
         + F.log("factor")
     )
     return (
-        open_.join(ended, "unit")
+        open_.drop("opens")
+        .join(ended, "unit")
         .join(lengths, ["source", "field", "length"], "left")
         .select("key", "field", "source", "length", "unit", prior.alias("posterior"), "limit_at", "whole_share", odds.alias("log_odds"))
     )

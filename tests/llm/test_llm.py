@@ -388,3 +388,30 @@ def test_names_by_the_corpus(spark):
     got = {(r.doc_id, r.found_text) for r in personal.personal_found(df).collect()}
     assert {(9, "Farkuna Toloma"), (10, "Birelle Santor"), (11, "Mokani Deshun"), (12, "Unseen Velkor")} <= got
     assert not any(d >= 13 for d, _ in got)
+
+
+# Long values
+
+
+def test_truncation_of_one_long_line(spark):
+    """A line of a megabyte without a sentence mark, and a word of 100,000 letters, cost no more than their length."""
+    line = " ".join(f"w{k % 977}" for k in range(170_000))
+    rows = [(str(k), "f", "s", f"short line {k % 5}\nand the other line {k % 3}.") for k in range(50)]
+    rows += [("long", "f", "s", line), ("word", "f", "s", "before\n" + "x" * 100_000), ("cut", "f", "s", "short line 1\nand the oth")]
+    df = spark.createDataFrame(rows, "key string, field string, source string, text string")
+    got = {r.key for r in truncation.truncation_odds(df).filter(F.col("log_odds") > truncation.CUT).collect()}
+    assert "cut" in got and not got & {str(k) for k in range(50)}
+
+
+def test_censoring_of_many_lengths():
+    import pandas as pd
+
+    hist = pd.DataFrame({"source": "s", "field": "f", "length": range(1, 200_001), "n": 1})
+    hist.loc[hist["length"] == 100_000, "n"] = 5000
+    out = truncation.censoring(hist)
+    assert out.loc[out["length"] == 100_000, "posterior"].item() > 0.9 and out["posterior"].max() <= 0.995
+
+
+def test_openings():
+    a, b = truncation.openings("one two three"), truncation.openings("one two four five")
+    assert a[:2] == b[:2] and a[2] != b[2] and len(b) == 4 and all(-(1 << 63) <= h < 1 << 63 for h in a + b)
