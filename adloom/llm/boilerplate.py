@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,8 +68,57 @@ def _step(path: str, tag: str) -> str:
         return path
     marks = " ".join(_DIGITS.sub("9", v.lower().replace("/", " ")) for _, v in _ATTR.findall(attributes))
     node = f"{name}#{marks}" if marks else name
-    # Broken pages can nest without end; the path stops growing, the pieces do not.
-    return f"{path}/{node}" if path and path.count("/") < 40 else (node if not path else path)
+    return f"{path}/{node}" if path else node
+
+
+#: Nodes of a path that are written out; what lies between these and the last ones stands as a hash.
+SHOWN, LAST = 40, 4
+
+
+def _short(nodes: list[str], hashes: list[int]) -> str:
+    """The path of a stack of nodes: all of a usual one, a hash for the middle of a very deep one."""
+    if len(nodes) <= SHOWN:
+        return "/".join(nodes)
+    return "/".join([*nodes[: SHOWN - LAST], f"~{hashes[len(nodes) - LAST - 1]:x}", *nodes[-LAST:]])
+
+
+class _Deep:
+    """The stack of nodes of a page that nests deeper than paths are written out; every step costs the same."""
+
+    def __init__(self, path: str) -> None:
+        self.nodes: list[str] = []
+        self.names: list[str] = []
+        self.hashes: list[int] = []
+        self.open: dict[str, int] = {}
+        for node in path.split("/"):
+            self._push(node)
+
+    def _push(self, node: str) -> None:
+        name = node.partition("#")[0]
+        self.nodes.append(node)
+        self.names.append(name)
+        self.hashes.append(xxhash.xxh3_64_intdigest(node, seed=self.hashes[-1] if self.hashes else 0))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def step(self, tag: str) -> None:
+        after = _step("", tag)
+        if after:
+            self._push(after)
+            return
+        m = _NAME.match(tag)
+        name = m[2].lower() if m and m[1] else ""
+        if self.open.get(name):
+            while True:
+                gone = self.names.pop()
+                self.nodes.pop()
+                self.hashes.pop()
+                self.open[gone] -= 1
+                if gone == name:
+                    break
+
+    @property
+    def path(self) -> str:
+        return _short(self.nodes, self.hashes)
 
 
 def pieces(page: str | None) -> list[tuple[int, str, str]]:
@@ -76,12 +126,23 @@ def pieces(page: str | None) -> list[tuple[int, str, str]]:
     if not page:
         return []
     out, path, n = [], "", 0
+    deep: _Deep | None = None
     for part in _TAG.split(page):
         if not part:
             continue
         first = part[0]
         if first == "<" and part[-1] == ">":
-            path = _step(path, part)
+            if deep is None:
+                path = _step(path, part)
+                # A path of so many nodes has at least twice as many characters.
+                if len(path) >= 2 * SHOWN - 1 and path.count("/") >= SHOWN:
+                    deep = _Deep(path)
+                    path = deep.path
+            else:
+                deep.step(part)
+                path = deep.path
+                if len(deep.nodes) <= SHOWN:
+                    deep = None
         elif first not in "\r\n":
             text = part.strip()
             if text:
@@ -144,34 +205,77 @@ def _wording(places: tuple[str, ...], titles: tuple[str, ...], skills: tuple[str
     return Wording(list(places), list(titles), list(skills))
 
 
-_FIELDS = ("seg_no", "path", "wording", "length", "marks")
-_PIECES = "array<struct<seg_no: long, path: string, wording: string, length: int, marks: int>>"
-_ARROW = pa.list_(
-    pa.struct(list(zip(_FIELDS, (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()))))
-)
+_CUT = "job_id string, field string, seg_no long, k long, source string, path string, said long, wording string, n long, chars long, marks long"
+_CUT_ARROW = pa.schema(
+    [
+        ("job_id", pa.string()), ("field", pa.string()), ("seg_no", pa.int64()), ("k", pa.int64()), ("source", pa.string()), ("path", pa.string()),
+        ("said", pa.int64()), ("wording", pa.string()), ("n", pa.int64()), ("chars", pa.int64()), ("marks", pa.int64()),
+    ]
+)
+#: Distinct pieces that a worker sums before it passes them on.
+SUMMED = 100_000
+
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-def piece_lists(text: Column, site: Column, firm: Column, vocabulary: tuple[tuple[str, ...], ...]) -> Column:
-    """Number, path, wording, length and punctuation of every piece of ``text``.
 
-    ``vocabulary`` is three bounded lists (places, titles, skills) whose words become slots.
+def _rows(columns: list[list], names: tuple[str, ...]) -> pa.RecordBatch:
+    n = len(columns[0])
+    given = dict(zip(names, columns))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in _CUT_ARROW], schema=_CUT_ARROW
+    )
+
+
+def cut_pages(pages: DataFrame, vocabulary: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """One pass over all pages: a row for each piece, and rows that sum pieces of one kind.
+
+    ``pages`` has ``(job_id, field, source, text, site, firm)``. A piece has
+    ``(job_id, field, seg_no, k)``, ``k`` the key of its source, path and wording
+    (8 bytes). A sum has ``k`` with ``(source, path, said, wording)`` in full, the
+    number ``n`` of pieces, their characters and marks; workers give several sums
+    of one ``k``. The path of text without markup is null. ``vocabulary`` is three
+    bounded lists (places, titles, skills) whose words become slots.
     """
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wording = _wording(*vocabulary).of
-        for pages, sites, firms in batches:
-            out = []
-            for page, site_, firm_ in zip(pages.to_pylist(), sites.to_pylist(), firms.to_pylist()):
-                firm_ = firm_ if firm_ and len(firm_) > 3 else ""
-                rows = []
+        sums: dict[tuple[str, str, str], list[int]] = {}
+
+        def summed() -> pa.RecordBatch:
+            said = [_signed(xxhash.xxh3_64_intdigest(w)) for _, _, w in sums]
+            source, path, words = zip(*sums) if sums else ((), (), ())
+            k, n, chars, marks = zip(*sums.values()) if sums else ((), (), (), ())
+            return _rows(
+                [k, source, [p or None for p in path], said, words, n, chars, marks],
+                ("k", "source", "path", "said", "wording", "n", "chars", "marks"),
+            )
+
+        for batch in batches:
+            jobs, fields, numbers, keys = [], [], [], []
+            for job, field, source, page, site, firm in zip(*(c.to_pylist() for c in batch.columns)):
+                firm = firm if firm and len(firm) > 3 else ""
                 for n, path, piece in pieces(page):
-                    said = wording(piece, site_ or "", firm_ if firm_ and firm_ in piece else "")
-                    marks = sum(map(piece.count, ".,!?;"))
-                    rows.append({"seg_no": n, "path": path, "wording": said, "length": len(piece), "marks": marks})
-                out.append(rows)
-            yield pa.array(out, _ARROW)
-
-    return F.arrow_udf(run, _PIECES)(text, site, firm)
+                    said = wording(piece, site or "", firm if firm and firm in piece else "")
+                    same = (source, path, said)
+                    own = sums.get(same)
+                    if own is None:
+                        own = sums[same] = [_signed(xxhash.xxh3_64_intdigest("\x00".join(same))), 0, 0, 0]
+                    own[1] += 1
+                    own[2] += len(piece)
+                    own[3] += sum(map(piece.count, ".,!?;"))
+                    jobs.append(job)
+                    fields.append(field)
+                    numbers.append(n)
+                    keys.append(own[0])
+            yield _rows([jobs, fields, numbers, keys], ("job_id", "field", "seg_no", "k"))
+            if len(sums) >= SUMMED:
+                yield summed()
+                sums.clear()
+        yield summed()
+
+    return pages.select("job_id", "field", "source", "text", "site", "firm").mapInArrow(run, _CUT)
 
 
 #: Weight of a label before any evidence, and how pure a path must be to decide for its pieces.
@@ -270,9 +374,9 @@ def _with_tokens(sentences: DataFrame, *columns: str) -> DataFrame:
 
 
 def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """``(source, path, said, off)`` of the distinct wordings in ``counts``, ``off`` true for boilerplate.
+    """``(k, source, path, said, off)`` of the distinct pieces in ``counts``, ``off`` true for boilerplate.
 
-    ``counts`` has ``(source, path, said, n, chars, marks)``, ``said`` the key of
+    ``counts`` has ``(k, source, path, said, n, chars, marks)``, ``said`` the key of
     a wording; the path of text without markup is null. ``sentences`` has those
     of every wording, as of :func:`sentences_of`.
     """
@@ -330,7 +434,10 @@ def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
             ).alias("evidence"),
         )
     )
-    joined = counts.join(said, "said", "left").join(paths, ["source", "path"], "left")
+    # Only what no sure path decides is asked for its wording; text without markup has no path at all.
+    open_ = labelled.filter(F.col("label").isNull()).select("k", "source", "path", "said", "n", "ratio")
+    bare = counts.filter(F.col("path").isNull()).select("k", "source", "path", "said", "n", F.lit(None).cast("double").alias("ratio"))
+    joined = open_.unionByName(bare).join(said, "said", "left")
     purity = (
         joined.filter(F.col("path").isNotNull())
         .groupBy("source", "path")
@@ -343,12 +450,14 @@ def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
     # A long, punctuated path leans to content, a short bare one to boilerplate.
     lean = F.coalesce(F.lit(4.0) - F.col("ratio"), F.lit(0.0)) * 0.25
     off = (
-        F.when(F.col("label").isNotNull(), F.col("label") == 1.0)
-        .when((F.col("pieces") >= ENOUGH) & (F.col("pure") >= PURE), True)
+        F.when((F.col("pieces") >= ENOUGH) & (F.col("pure") >= PURE), True)
         .when((F.col("pieces") >= ENOUGH) & (F.col("pure") <= 1 - PURE), False)
         .otherwise(F.col("evidence") + lean > ODDS)
     )
-    return fused.select("source", "path", "said", off.alias("off"), "evidence", "ratio", "pure")
+    by_path = labelled.filter(F.col("label").isNotNull())
+    return by_path.select("k", "source", "path", "said", (F.col("label") == 1.0).alias("off")).unionByName(
+        fused.select("k", "source", "path", "said", off.alias("off"))
+    )
 
 
 #: Largest list of places, titles or skills that is turned into slots on every worker.
@@ -364,33 +473,21 @@ def _bounded(df: DataFrame, *columns: str) -> tuple[str, ...]:
     return tuple(sorted(r.w for r in rows))
 
 
-def page_pieces(
-    jobs: DataFrame, records: DataFrame, locations: DataFrame, titles: DataFrame, skills: DataFrame
-) -> DataFrame:
-    """``(job_id, field, source, seg_no, path, wording, length, marks)`` of every piece of both fields."""
-    vocabulary = (
-        _bounded(locations, "city", "region", "country"),
-        _bounded(titles, "title"),
-        _bounded(skills, "canonical_name"),
-    )
-    sides = (
-        jobs.select(
-            "job_id", F.lit("job_description").alias("field"), F.col("source_hostname").alias("source"),
-            F.col("job_description").alias("_text"), F.col("source_platform").alias("_site"), F.col("company_name").alias("_firm"),
-        ),
-        records.select(
-            "job_id", F.lit("job_description_raw").alias("field"), F.col("source_hostname").alias("source"),
-            F.col("job_description_raw").alias("_text"), F.col("source_platform").alias("_site"), F.col("company_raw").alias("_firm"),
-        ),
-    )
-    both = sides[0].unionByName(sides[1]).filter(F.trim("_text") != "")
-    cut = both.select(
-        "job_id",
-        "field",
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.explode(piece_lists(F.col("_text"), F.col("_site"), F.col("_firm"), vocabulary)).alias("_p"),
-    )
-    return cut.select("job_id", "field", "source", "_p.*").withColumn("path", F.when(F.col("path") != "", F.col("path")))
+def pages_of(jobs: DataFrame, records: DataFrame) -> DataFrame:
+    """``(job_id, field, source, text, site, firm)`` of the texts of both tables that are not blank."""
+
+    def side(df: DataFrame, field: str, firm: str) -> DataFrame:
+        return df.select(
+            "job_id",
+            F.lit(field).alias("field"),
+            F.coalesce("source_hostname", F.lit("")).alias("source"),
+            F.col(field).alias("text"),
+            F.col("source_platform").alias("site"),
+            F.col(firm).alias("firm"),
+        )
+
+    both = side(jobs, "job_description", "company_name").unionByName(side(records, "job_description_raw", "company_raw"))
+    return both.filter(F.trim("text") != "")
 
 
 def boilerplate_pieces(
@@ -401,18 +498,19 @@ def boilerplate_pieces(
     Null, empty and blank texts have no pieces. Records delivered twice count
     once in the result.
     """
-    key = F.xxhash64("source", F.coalesce("path", F.lit("")), "said")
-    said = F.xxhash64("wording")
-    pieces_ = page_pieces(jobs, records, locations, titles, skills).withColumn("said", said)
-    cut = stored(pieces_.withColumn("_k", key).drop("said"))
-    # Counts and sentences feed several branches; they are stored as well, and are as many as distinct wordings.
-    sentences = stored(sentences_of(cut.select(said.alias("said"), "wording").distinct()))
-    verdicts = boilerplate_wordings(stored(_counted(cut.withColumn("said", said))), sentences)
-    off = verdicts.filter("off").select(key.alias("_k")).distinct()
-    return cut.select("job_id", "field", "seg_no", "_k").join(off, "_k", "left_semi").drop("_k").distinct()
-
-
-def _counted(cut: DataFrame) -> DataFrame:
-    return cut.groupBy("source", "path", "said").agg(
-        F.count("*").alias("n"), F.sum("length").alias("chars"), F.sum("marks").alias("marks")
+    vocabulary = (
+        _bounded(locations, "city", "region", "country"),
+        _bounded(titles, "title"),
+        _bounded(skills, "canonical_name"),
+    )
+    cut = stored(cut_pages(pages_of(jobs, records), vocabulary))
+    sums = cut.filter(F.col("n").isNotNull())
+    # Counts and sentences feed several branches; they are as many as distinct wordings.
+    counts = stored(
+        sums.groupBy("k", "source", "path", "said").agg(
+            F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("marks").alias("marks")
+        )
     )
+    sentences = stored(sentences_of(sums.select("said", "wording").distinct()))
+    off = boilerplate_wordings(counts, sentences).filter("off").select("k").distinct()
+    return cut.filter(F.col("n").isNull()).select("job_id", "field", "seg_no", "k").join(off, "k", "left_semi").drop("k").distinct()

@@ -415,3 +415,14 @@ def test_censoring_of_many_lengths():
 def test_openings():
     a, b = truncation.openings("one two three"), truncation.openings("one two four five")
     assert a[:2] == b[:2] and a[2] != b[2] and len(b) == 4 and all(-(1 << 63) <= h < 1 << 63 for h in a + b)
+
+
+def test_paths_of_any_depth():
+    """Closing tags find their opening ones, however deep a page nests."""
+    page = "<div><article>" + "<div>" * 50 + "in" + "</div>" * 50 + "<p>after</p></article></div><p>end</p>"
+    got = {t: p for _, p, t in boilerplate.pieces(page)}
+    assert got["after"] == "div/article/p" and got["end"] == "p"
+    assert got["in"].startswith("div/article/div") and got["in"].count("/") < 50
+    other = "<div><article>" + "<div>" * 49 + "<ul>in" + "</ul>" * 50
+    assert boilerplate.pieces(other)[0][1] != got["in"]
+    assert len(boilerplate.pieces("<div><p>x" * 5_000)) == 5_000
