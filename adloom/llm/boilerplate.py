@@ -381,7 +381,8 @@ def boilerplate_wordings(counts: DataFrame, sentences: DataFrame) -> DataFrame:
     of every wording, as of :func:`sentences_of`.
     """
     marked = counts.filter(F.col("path").isNotNull())
-    paths = path_ratios(marked)
+    # A row for each path of a source; five branches read them.
+    paths = stored(path_ratios(marked))
     labelled = marked.join(paths, ["source", "path"], "left")
     # What each wording is called where its path is sure.
     sure = (
