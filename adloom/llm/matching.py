@@ -2,8 +2,8 @@
 
 A value becomes the set of its character bigrams. Bigrams are ordered by global
 rarity, only the rarest prefix of each set is joined, candidates are cut by the
-length and positional filters, Jaccard is verified exactly, and the best entry
-is kept. An edit-distance check then decides whether the best is meant at all.
+length and positional filters, Jaccard is verified exactly, an edit-distance
+check drops pairs that cannot mean the same, and the most similar is kept.
 Every distinct value is matched once, however many rows hold it.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Jaccard similarity of bigram sets that candidates must reach.
-THRESHOLD = 0.25
+THRESHOLD = 0.3
 #: Slips (a letter wrong, missing, doubled, or two swapped) that still mean the entry, by the entry's length.
 SLIPS = ((4, 0), (5, 1), (8, 2), (12, 2), (1 << 30, 3))
 #: Places are single names, so a third slip is allowed from this length on; titles share words with others.
@@ -194,18 +194,20 @@ def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """The entries keys closest to each text: fewest slips, within the allowance; ties stay together."""
+    """The most similar entry key of each text by Jaccard, of those that few enough slips tell from it; ties stay together."""
     allowed = reduce(
         lambda c, step: c.when(F.length("key") <= step[0], step[1]), SLIPS[1:], F.when(F.length("key") <= SLIPS[0][0], SLIPS[0][1])
     )
     # A swap counts twice in the plain edit distance, so this leaves out no pair within the allowance.
     close = pairs.filter(F.levenshtein("text", "key", 2 * SLIPS[-1][1]) >= 0)
     allowed = F.when((F.col("kind") == "location") & (F.length("key") >= PLACE_LENGTH), SLIPS[-1][1]).otherwise(allowed)
-    near = close.withColumn("edits", _slips("text", "key")).filter(F.col("edits") <= allowed)
-    least = W.partitionBy("kind", "text")
+    # Few rows come out of the join, which would all go to one task; a fixed number of partitions is not merged.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = close.repartition(parts, "text", "key").withColumn("edits", _slips("text", "key")).filter(F.col("edits") <= allowed)
+    most = W.partitionBy("kind", "text")
     return (
-        near.withColumn("_least", F.min("edits").over(least))
-        .filter(F.col("edits") == F.col("_least"))
+        near.withColumn("_most", F.max("similarity").over(most))
+        .filter(F.col("similarity") == F.col("_most"))
         .select("kind", "text", "key", "similarity", "edits")
     )
 
@@ -276,9 +278,9 @@ def canonical_entries(
     """``(job_id, field, entry_id)`` of every typed location and title; -1 where the list has no entry.
 
     Null and blank values and those that are letter for letter an entry's name
-    are left out. Of equally close entries the one in an area that the value
-    names is taken, then the one in the advert's country, then the one in its
-    source's country, then the most similar, then the smallest id.
+    are left out. The most similar entry is taken; of equally similar ones the one
+    in an area that the value names, then the one in the advert's country, then the
+    one in its source's country, then the smallest id.
     """
     long = jobs.select(
         "job_id",
@@ -314,13 +316,12 @@ def canonical_entries(
     def rank(h: Column) -> Column:
         named = F.array_contains("names", h["region"]) | F.array_contains("areas", h["country"])
         return F.struct(
-            h["edits"].alias("edits"),
+            h["unlike"].alias("unlike"),
             F.when(F.coalesce(named, F.lit(False)), 0)
             .when(h["country"] == F.col("_own"), 1)
             .when(h["country"] == F.col("_host"), 2)
             .otherwise(3)
             .alias("far"),
-            h["unlike"].alias("unlike"),
             h["entry_id"].alias("entry_id"),
         )
 
