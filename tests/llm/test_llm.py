@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+from collections import Counter
 import random
 
 import numpy as np
@@ -284,6 +285,22 @@ def test_best_fit(items):
             assert seen.count(same) <= -(-copies // needed)
 
 
+def test_best_fit_leaves_little_space_unused():
+    import random
+
+    rng = random.Random(5)
+    sizes = [min(2048, int(rng.lognormvariate(5, 1))) for _ in range(6000)]
+    # A third of the items are copies of one another, in groups up to 300, and there are more groups than machine bits.
+    rows = [(i, 0, s, i % 7, None) for i, s in enumerate(sizes)]
+    rows += [(10_000 + i, 0, 100 + i % 3, i % 7, i % 10) for i in range(3000)] + [(20_000 + i, 0, 30, 1, 100 + i // 2) for i in range(9000)]
+    out = packing.best_fit(rows, 2048)
+    total = sum(r[2] for r in rows)
+    bins = len({b for *_, b in out})
+    assert bins <= 1.01 * -(-total // 2048) + 1
+    pairs = Counter((b, rows_by[i]) for rows_by in [{r[0]: r[4] for r in rows}] for i, _, _, b in out if rows_by[i] is not None)
+    assert max(n for (b, c), n in pairs.items() if c >= 100) == 1
+
+
 def test_packed(spark):
     rows = [(i, "word " * (i % 40), "s") for i in range(300)] + [(900, "word " * 3000, "s"), (901, None, None), (902, "", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -296,6 +313,8 @@ def test_packed(spark):
     assert {r.limit_id: r.n for r in out.groupBy("limit_id").agg(F.countDistinct("doc_id").alias("n")).collect()} == {1: 303, 2: 303}
     assert out.filter("doc_id < 900").groupBy("limit_id", "doc_id").count().filter("count > 1").count() == 0
     assert packing.packed(docs.limit(0), limits).count() == 0
+    twice = packing.packed(docs.unionByName(docs.filter("doc_id < 50")), limits, group_items=100)
+    assert twice.groupBy("limit_id", "doc_id", "piece_no").count().filter("count > 1").count() == 0
 
 
 # Personal information
