@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions.names import ref
+from adloom.session import stored
 
 #: The pseudo item that every basket holds, so that single counts and the total come out as pairs.
 ANY = -1
@@ -70,21 +71,14 @@ def weighted_baskets(items: DataFrame) -> DataFrame:
 
 def pair_weights(baskets: DataFrame) -> DataFrame:
     """``(a, b, n)`` with ``a < b``; pairs with :data:`ANY` count single items, ``(ANY, ANY)`` all baskets."""
-    with_any = F.concat(F.array(F.lit(ANY).cast("long")), F.col("basket"))
-    pairs = F.flatten(
-        F.transform(
-            with_any,
-            lambda a, i: F.transform(
-                F.slice(with_any, i + 2, F.size(with_any) - i - 1), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    every = F.concat(F.array(F.struct(F.lit(ANY).cast("long").alias("a"), F.lit(ANY).cast("long").alias("b"))), pairs)
-    return (
-        baskets.select(F.explode(every).alias("_p"), "weight")
-        .groupBy("_p.a", "_p.b")
-        .agg(F.sum("weight").alias("n"))
+    any_item = F.lit(ANY).cast("long")
+    # A row for each first item, so that a basket of k items never stands as k * k / 2 pairs in one row.
+    firsts = baskets.select(F.concat(F.array(any_item), F.col("basket")).alias("_all"), "weight").select(
+        "weight", "_all", F.posexplode("_all").alias("_i", "a")
     )
+    later = F.slice("_all", F.col("_i") + 2, F.size("_all"))
+    seconds = F.when(F.col("_i") == 0, F.concat(F.array(any_item), later)).otherwise(later)
+    return firsts.select("a", F.explode(seconds).alias("b"), "weight").groupBy("a", "b").agg(F.sum("weight").alias("n"))
 
 
 def pair_scores(counts: DataFrame) -> DataFrame:
@@ -125,7 +119,8 @@ def skill_pairs(records: DataFrame, skills: DataFrame) -> DataFrame:
     Items that are no canonical name or alias are ignored, null lists and
     records delivered twice add nothing.
     """
-    return pair_scores(pair_weights(weighted_baskets(canonical_items(records, skills, "job_id", "skills_raw"))))
+    # The scores read the counts four times; they are as many as pairs of items.
+    return pair_scores(stored(pair_weights(weighted_baskets(canonical_items(records, skills, "job_id", "skills_raw")))))
 
 
 def frequent_pairs(scores: DataFrame, at_least: int = 3, share: int = 400, times: int = 2) -> DataFrame:
