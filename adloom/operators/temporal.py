@@ -124,31 +124,45 @@ def rolling_origin(series: DataFrame, least: int = 4) -> DataFrame:
     """
     up = W.partitionBy("skill").orderBy("period")
     before = up.rowsBetween(W.unboundedPreceding, -1)
-    x = series.withColumn("_i", F.row_number().over(up) - 1)
+    # Whole ten-thousandths, so that sums are exact in any order of adding.
+    e4 = F.round(F.col("rate") * 10_000).cast("long")
+    x = series.withColumns({"_i": (F.row_number().over(up) - 1).cast("long"), "_r": e4})
     made = x.withColumns(
         {
-            "last_value": F.lag("rate").over(up),
-            "mean_3": F.avg("rate").over(up.rowsBetween(-3, -1)),
+            "last_value": F.lag("_r").over(up),
+            "_m3": F.sum("_r").over(up.rowsBetween(-3, -1)),
             "_n": F.count("*").over(before),
             "_si": F.sum("_i").over(before),
             "_sii": F.sum(F.col("_i") * F.col("_i")).over(before),
-            "_sr": F.sum("rate").over(before),
-            "_sir": F.sum(F.col("_i") * F.col("rate")).over(before),
+            "_sr": F.sum("_r").over(before),
+            "_sir": F.sum(F.col("_i") * F.col("_r")).over(before),
         }
     ).filter(F.col("_n") >= least)
-    b = (F.col("_n") * F.col("_sir") - F.col("_si") * F.col("_sr")) / (F.col("_n") * F.col("_sii") - F.col("_si") * F.col("_si"))
-    linear = F.greatest((F.col("_sr") - b * F.col("_si")) / F.col("_n") + b * F.col("_i"), F.lit(0.0))
-    long = made.withColumn("linear", linear).unpivot(
-        ["skill", "period", "rate", F.col("last_value").alias("_prev")], ["last_value", "mean_3", "linear"], "model", "forecast"
-    )
-    error = F.col("forecast") - F.col("rate")
-    right = (F.signum(F.round(F.col("forecast") - F.col("_prev"), 9)) == F.signum(F.round(F.col("rate") - F.col("_prev"), 9))).cast("double")
-    return long.groupBy("skill", "model").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(F.abs(error)), 4).alias("mae"),
-        F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse"),
-        F.round(F.avg(right), 4).alias("direction"),
+    n, top = F.col("_n").cast("double"), (F.col("_n") * F.col("_sir") - F.col("_si") * F.col("_sr")).cast("double")
+    b = top / (F.col("_n") * F.col("_sii") - F.col("_si") * F.col("_si")).cast("double")
+    ahead = (F.col("_sr").cast("double") - b * F.col("_si").cast("double")) / n + b * F.col("_i").cast("double")
+    long = made.withColumns(
+        {
+            "linear": F.greatest(F.round(ahead).cast("long"), F.lit(0).cast("long")),
+            "mean_3": F.floor((F.col("_m3") * 2 + 3) / 6).cast("long"),
+            "_prev": F.col("last_value"),
+        }
+    ).unpivot(["skill", "_r", "_prev"], ["last_value", "mean_3", "linear"], "model", "forecast")
+    error = F.col("forecast") - F.col("_r")
+    right = (F.signum(F.col("forecast") - F.col("_prev")) == F.signum(F.col("_r") - F.col("_prev"))).cast("long")
+
+    def mean(total: Column) -> Column:
+        """Halves up, in ten-thousandths."""
+        return F.floor((total * 2 + F.col("n")) / (F.col("n") * 2)) / 10_000
+
+    sums = long.groupBy("skill", "model").agg(
+        F.count("*").alias("n"), F.sum(F.abs(error)).alias("_abs"), F.sum(error * error).alias("_sq"), F.sum(right).alias("_right")
     )
+    return sums.select(
+        "skill", "model", "n", mean(F.col("_abs")).alias("mae"),
+        F.round(F.sqrt(F.col("_sq") / F.col("n")) / 10_000, 4).alias("rmse"),
+        mean(F.col("_right") * 10_000).alias("direction"),
+    )
 
 
 def best_models(scores: DataFrame) -> DataFrame:

@@ -147,13 +147,18 @@ def demand_forecasts(spark, sf_dir):
     return temporal.forecasts(filled(spark, sf_dir))
 
 
-_ROLLING = f"""{FILLED}, k AS (SELECT *, lag(rate) OVER w AS lv, avg(rate) OVER (PARTITION BY skill ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m3,
-      count(*) OVER b AS n, sum(i) OVER b AS si, sum(i * i) OVER b AS sii, sum(rate) OVER b AS sr, sum(i * rate) OVER b AS sir FROM x
+_ROLLING = f"""{FILLED}, xr AS (SELECT skill, period, i, CAST(round(rate * 10000) AS BIGINT) AS r FROM x),
+    k AS (SELECT *, lag(r) OVER w AS lv, sum(r) OVER (PARTITION BY skill ORDER BY period ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m3,
+      count(*) OVER b AS n, sum(i) OVER b AS si, sum(i * i) OVER b AS sii, sum(r) OVER b AS sr, sum(i * r) OVER b AS sir FROM xr
       WINDOW w AS (PARTITION BY skill ORDER BY period), b AS (PARTITION BY skill ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    h AS (SELECT *, (n * sir - si * sr) / (n * sii - si * si) AS bb FROM k WHERE n >= 4),
-    o AS (SELECT skill, rate, lv AS prev, unnest(['last_value', 'mean_3', 'linear']) AS model, unnest([lv, m3, greatest((sr - bb * si) / n + bb * i, 0.0)]) AS fc FROM h),
-    sc AS (SELECT skill, model, count(*) AS n, round(avg(abs(fc - rate)), 4) AS mae, round(sqrt(avg((fc - rate) * (fc - rate))), 4) AS rmse,
-      round(avg(CASE WHEN sign(round(fc - prev, 9)) = sign(round(rate - prev, 9)) THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS direction FROM o GROUP BY 1, 2)"""
+    h AS (SELECT *, CAST(n * sir - si * sr AS DOUBLE) / CAST(n * sii - si * si AS DOUBLE) AS bb FROM k WHERE n >= 4),
+    o AS (SELECT skill, r, lv AS prev, unnest(['last_value', 'mean_3', 'linear']) AS model,
+      unnest([CAST(lv AS BIGINT), CAST((m3 * 2 + 3) // 6 AS BIGINT),
+        greatest(CAST(round((CAST(sr AS DOUBLE) - bb * CAST(si AS DOUBLE)) / n + bb * i) AS BIGINT), 0)]) AS fc FROM h),
+    sc AS (SELECT skill, model, count(*) AS n, CAST((sum(abs(fc - r)) * 2 + count(*)) // (count(*) * 2) AS DOUBLE) / 10000 AS mae,
+      round(sqrt(CAST(sum((fc - r) * (fc - r)) AS DOUBLE) / count(*)) / 10000, 4) AS rmse,
+      CAST((sum(CASE WHEN sign(fc - prev) = sign(r - prev) THEN 10000 ELSE 0 END) * 2 + count(*)) // (count(*) * 2) AS DOUBLE) / 10000 AS direction
+      FROM o GROUP BY 1, 2)"""
 
 
 @catalogue.add("rolling_origin", f"WITH {_ROLLING} SELECT * FROM sc")
