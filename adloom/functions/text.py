@@ -11,6 +11,10 @@ PLACEHOLDERS = ("", "nan", "none", "nat", "null", "undefined", "n/a", "-")
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+# Elements whose content is no text of the page.
+DROPPED = ("script", "style", "nav", "footer", "header", "iframe", "form")
+
+
 def null_if_placeholder(c: Column) -> Column:
     """The trimmed text, or null where it stands for nothing."""
     t = F.trim(c)
@@ -32,7 +36,9 @@ def clean_html(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Lines of a page: scripts, styles, menus and forms dropped, block ends to line breaks, list items with a bullet."""
-    t = F.regexp_replace(c, r"(?is)<(script|style|nav|footer|header|iframe|form)\b[^>]*>.*?</\1\s*>", " ")
+    t = c
+    for name in DROPPED:
+        t = F.regexp_replace(t, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n• ")
     t = F.regexp_replace(t, r"(?i)<(?:br|/?p|/?div|/?h[1-6]|/?tr|/?ul|/?ol)\b[^>]*>", "\n")
     t = unescaped(F.regexp_replace(t, r"<[^>]*>", " "))
@@ -59,8 +65,8 @@ def stable_id(host: Column, source_id: Column, url: Column) -> Column:
 
 
 def normalised(c: Column) -> Column:
-    """Lower case, punctuation to blanks, blanks collapsed (ASCII letters and digits)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower case, everything but letters, marks, digits and underscores to blanks, in any script; blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}_]", " "), r" +", " "))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions.stats import wilson
+from adloom.functions.text import normalised
 
 
 def compare_text(expected: Column, got: Column) -> Column:
@@ -16,9 +17,7 @@ def compare_text(expected: Column, got: Column) -> Column:
     """
     e, g = F.nullif(F.trim(expected), F.lit("")), F.nullif(F.trim(got), F.lit(""))
 
-    def plain(c: Column) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]", " "), " +", " "))
-
+    plain = normalised
     we, wg = F.array_distinct(F.split(plain(e), " ")), F.array_distinct(F.split(plain(g), " "))
     shared = F.size(F.array_intersect(we, wg))
     jaccard = shared / (F.size(we) + F.size(wg) - shared)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from adloom.functions import text as tx
 from adloom.operators import evaluate, quality, store
 from adloom.plans.baskets import mentions
+from adloom.plans.records import paragraphs_sql
 from adloom.plans.registry import Catalogue
 from adloom.plans.sqltext import MENTIONS
 from adloom.session import table
@@ -28,7 +29,7 @@ def aligned(spark, sf_dir):
     return jobs.join(raw, "job_id")
 
 
-_PLAIN = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))"
 _OUTCOMES = f"""al AS (SELECT DISTINCT job_id, job_title_raw, company_raw, location_raw, country_raw, description_type FROM extraction_results),
   pr AS (SELECT j.job_id, j.source_platform, al.description_type, unnest(['title', 'company', 'location', 'country']) AS field,
       unnest([nullif(trim(j.job_title), ''), nullif(trim(j.company_name), ''), nullif(trim(j.location), ''), nullif(trim(j.country), '')]) AS e,
@@ -275,7 +276,7 @@ def clean_html(spark, sf_dir):
     return raw.select("job_id", tx.clean_html(F.col("job_description_raw")).alias("plain")).distinct()
 
 
-@catalogue.add("page_paragraphs")
+@catalogue.add("page_paragraphs", f"SELECT DISTINCT job_id, {paragraphs_sql('job_description_raw')} AS lines FROM extraction_results WHERE job_description_raw IS NOT NULL")
 def page_paragraphs(spark, sf_dir):
     raw = table(spark, sf_dir, "extraction_results").filter(F.col("job_description_raw").isNotNull())
     return raw.select("job_id", tx.paragraphs(F.col("job_description_raw")).alias("lines")).distinct()
