@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("records", "dealt", "baskets", "markets", "role_time", "quality_store", "extraction", "more")
+_MODULES = ("records", "stores", "dealt", "baskets", "markets", "role_time", "quality_store", "extraction", "more")
 
 
 def all_catalogues():
