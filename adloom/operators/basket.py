@@ -185,17 +185,17 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(skill, component)``: the smallest name within reach labels each component.
 
     Labels move along all edges and then jump to the label of their label, so the
     number of rounds grows with the logarithm of the longest path; lineage is cut
-    every round.
+    every round until no label moves.
     """
     both = edges.select(F.col("skill_a").alias("x"), F.col("skill_b").alias("y"))
     both = checkpointed(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = checkpointed(both.groupBy(F.col("x").alias("skill")).agg(F.least(F.min("y"), F.col("x")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = (
             both.join(labels, both["y"] == labels["skill"])
             .groupBy("x")
@@ -282,8 +282,17 @@ def _central(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-#: Nodes up to which a component is small enough for one task.
-GRAPH_LIMIT = 20_000
+#: Edges up to which a component is small enough for one task.
+GRAPH_LIMIT = 1_000_000
+
+
+def _component_edges(edges: DataFrame) -> DataFrame:
+    """``(component, skill_a, skill_b, jobs)``; fails where a component has more than :data:`GRAPH_LIMIT` edges."""
+    labels = components(edges)
+    own = edges.join(labels, edges["skill_a"] == labels["skill"]).select("component", "skill_a", "skill_b", "jobs")
+    size = own.groupBy("component").agg(F.count("*").alias("_n"))
+    checked = F.when(F.col("_n") > GRAPH_LIMIT, F.raise_error(F.lit("component too large for one task"))).otherwise(F.col("component"))
+    return own.join(size, "component").select(checked.cast("string").alias("component"), "skill_a", "skill_b", "jobs")
 
 
 def centrality(edges: DataFrame) -> DataFrame:
@@ -292,11 +301,51 @@ def centrality(edges: DataFrame) -> DataFrame:
     A component is a part of a taxonomy's vocabulary; larger ones than
     :data:`GRAPH_LIMIT` are refused.
     """
-    sized = edges.agg(F.count("*")).scalar()
-    labels = components(edges)
-    checked = F.when(sized > GRAPH_LIMIT * 50, F.raise_error(F.lit("graph too large for one task"))).otherwise(F.col("component"))
-    own = edges.join(labels, edges["skill_a"] == labels["skill"]).select(checked.cast("string").alias("component"), "skill_a", "skill_b", "jobs")
-    return own.groupBy("component").applyInPandas(_central, _CENTRAL)
+    return _component_edges(edges).groupBy("component").applyInPandas(_central, _CENTRAL)
+
+
+def modular(edges: list[tuple[str, str, float]]) -> list[set[str]]:
+    """Communities by greedy modularity: the pair of groups whose union gains most is merged until none gains.
+
+    Ties go to the smallest names, so the result does not depend on the order of the edges.
+    """
+    total = sum(w for _, _, w in edges)
+    degree: dict[str, float] = {}
+    between: dict[str, dict[str, float]] = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            degree[x] = degree.get(x, 0.0) + w
+            own = between.setdefault(x, {})
+            own[y] = own.get(y, 0.0) + w
+    groups = {v: {v} for v in degree}
+    while True:
+        best = None
+        for a in sorted(between):
+            for b, w in between[a].items():
+                if a < b:
+                    gain = w / total - degree[a] * degree[b] / (2 * total * total)
+                    if gain > 1e-12 and (best is None or (-round(gain, 12), a, b) < best):
+                        best = (-round(gain, 12), a, b)
+        if best is None:
+            return sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+        _, a, b = best
+        groups[a] |= groups.pop(b)
+        degree[a] += degree.pop(b)
+        for c, w in between.pop(b).items():
+            del between[c][b]
+            if c != a:
+                between[a][c] = between[c][a] = between[a].get(c, 0.0) + w
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """``(component, community, skill)``: greedy modularity communities weighted by jobs, largest first, one task for each component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = modular(list(zip(pdf["skill_a"], pdf["skill_b"], pdf["jobs"].astype(float))))
+        rows = [(pdf["component"].iloc[0], k, v) for k, group in enumerate(found) for v in sorted(group)]
+        return pd.DataFrame(rows, columns=["component", "community", "skill"])
+
+    return _component_edges(edges).groupBy("component").applyInPandas(run, "component string, community int, skill string")
 
 
 def ego_edges(edges: DataFrame, focal: str, top: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.text import canonical_url
@@ -122,6 +123,10 @@ def url_class(url: Column, host_known: Column) -> Column:
     )
 
 
+#: Largest registry of runs that becomes a literal.
+RUN_LIMIT = 10_000
+
+
 def known_before(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """``(run, jobs)``: how many adverts had been seen when each run began; runs without adverts have 0.
 
@@ -130,12 +135,13 @@ def known_before(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     """
     seen = jobs.select(F.unix_micros(F.try_to_timestamp("first_seen_at")).alias("at")).filter(F.col("at").isNotNull())
     starts = runs.select("run_id", F.unix_micros(F.try_to_timestamp("started_at")).alias("start"))
-    # Runs are few: their starts become the steps that every advert is put on.
-    steps = starts.filter(F.col("start").isNotNull()).agg(F.array_sort(F.collect_set("start")).alias("steps"))
-    step = F.array_min(F.filter("steps", lambda s: s >= F.col("at")))
-    counted = seen.join(F.broadcast(steps)).groupBy(step.alias("start")).agg(F.count("*").alias("n")).filter(F.col("start").isNotNull())
-    from pyspark.sql import Window as W
-
+    # Runs are a registry of checked size: their starts become the steps that every advert is put on.
+    rows = starts.filter(F.col("start").isNotNull()).select("start").distinct().limit(RUN_LIMIT + 1).collect()
+    if len(rows) > RUN_LIMIT:
+        raise ValueError(f"more than {RUN_LIMIT} runs; give a smaller registry")
+    steps = F.array(*(F.lit(r.start) for r in sorted(rows))).cast("array<long>")
+    step = F.array_min(F.filter(steps, lambda s: s >= F.col("at")))
+    counted = seen.groupBy(step.alias("start")).agg(F.count("*").alias("n")).filter(F.col("start").isNotNull())
     every = starts.select("start").distinct().join(counted, "start", "left")
     # As many rows as runs.
     running = every.withColumn("jobs", F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("start").rowsBetween(W.unboundedPreceding, 0)))

@@ -183,3 +183,20 @@ def requirement_lines(text: Column) -> Column:
     )
     lines = F.transform(F.split(part, r"\n+"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[\-–•*]\s*", "")))
     return F.filter(lines, lambda x: x != "")
+
+
+def extraction_run(texts: DataFrame, skills: DataFrame, extractors: dict, existing: DataFrame, run: str) -> DataFrame:
+    """New mentions ``(job_id, run_id, method, skill_id)`` of one run over ``(job_id, text)``.
+
+    ``extractors`` maps a method to any ``(texts, skills) -> (job_id, skill_id)``.
+    Mentions that ``existing`` (``job_id, run_id, method, skill_id``) has are left
+    out, so a run that is repeated adds nothing.
+    """
+    from functools import reduce
+
+    found = [
+        read(texts, skills).select("job_id", F.lit(run).alias("run_id"), F.lit(method).alias("method"), F.col("skill_id").cast("long").alias("skill_id"))
+        for method, read in extractors.items()
+    ]
+    every = reduce(DataFrame.unionByName, found).distinct()
+    return every.join(existing.select("job_id", "run_id", "method", "skill_id"), ["job_id", "run_id", "method", "skill_id"], "left_anti")

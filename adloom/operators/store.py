@@ -49,7 +49,7 @@ def insert_or_ignore(existing: DataFrame, incoming: DataFrame, *keys: str) -> Da
 
 
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """``(job_id, content_hash, import_run_id, versions)``: the last observed snapshot of each advert and how many there are."""
+    """``(job_id, content_hash, import_run_id, versions, last_observed)``: the last snapshot of each advert, how many there are, and its microsecond."""
     at = F.unix_micros(F.try_to_timestamp("observed_at"))
     good = versions.filter(F.trim("content_hash") != "").select(
         "job_id", "version_id", F.lower(F.trim("content_hash")).alias("content_hash"), "import_run_id", at.alias("_at")
@@ -58,6 +58,7 @@ def latest_versions(versions: DataFrame) -> DataFrame:
         F.max_by("content_hash", F.struct("_at", "version_id")).alias("content_hash"),
         F.max_by("import_run_id", F.struct("_at", "version_id")).alias("import_run_id"),
         F.count("*").alias("versions"),
+        F.max("_at").alias("last_observed"),
     )
 
 

@@ -150,6 +150,11 @@ def graph_centrality(spark, sf_dir):
     return basket.centrality(basket.network_edges(baskets(spark, sf_dir), 5))
 
 
+@catalogue.add("graph_communities")
+def graph_communities(spark, sf_dir):
+    return basket.communities(basket.network_edges(baskets(spark, sf_dir), 5))
+
+
 @catalogue.add(
     "ego_network",
     f"""WITH {BASKETS}, {_RELATION} SELECT * FROM rt WHERE skill_a = 'Corvid SQL' OR skill_b = 'Corvid SQL'

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.stats import average_rank
-from adloom.operators import extract, quality, temporal
+from adloom.operators import extract, pages, quality, temporal
 from adloom.plans.baskets import mentions
 from adloom.plans.registry import Catalogue
 from adloom.plans.role_time import filled
@@ -19,26 +21,70 @@ _NAMES = """nm AS (SELECT lower(trim(n)) AS name, min(skill_id) AS skill_id FROM
     UNION ALL SELECT skill_id, unnest(CAST(aliases_json AS JSON)::VARCHAR[]) FROM skills) GROUP BY 1)"""
 
 
+# Words and signs are set apart by a mark, so that whole words are found by plain search.
+_MARKED = "chr(1) || replace(regexp_replace({c}, '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g'), chr(1) || chr(1), chr(1)) || chr(1)"
+_LEXICAL = f"""jt AS MATERIALIZED (SELECT job_id, {_MARKED.format(c="lower(concat_ws(' ', job_title, job_description, requirements))")} AS t FROM jobs),
+    mk AS MATERIALIZED (SELECT skill_id, {_MARKED.format(c='name')} AS name FROM nm),
+    fx AS (SELECT DISTINCT job_id, CAST(skill_id AS BIGINT) AS skill_id FROM jt JOIN mk ON contains(t, name))"""
+
+
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "jobs").select("job_id", F.concat_ws(" ", "job_title", "job_description", "requirements").alias("text"))
+
+
+@catalogue.add("lexical_skills", f"WITH {_NAMES}, {_LEXICAL} SELECT * FROM fx")
+def lexical_skills(spark, sf_dir):
+    return extract.lexical_skills(_texts(spark, sf_dir), table(spark, sf_dir, "skills"), "job_id", "text")
+
+
 @catalogue.add(
-    "lexical_skills",
-    f"""WITH {_NAMES} SELECT DISTINCT j.job_id, CAST(skill_id AS BIGINT) AS skill_id FROM jobs j JOIN nm
-    ON regexp_matches(lower(j.requirements), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(nm.name) || '($|[^\\p{{L}}\\p{{N}}_])')""",
+    "extraction_run",
+    f"""WITH {_NAMES}, {_LEXICAL} SELECT job_id, 'run_lexical_00' AS run_id, 'lexical' AS method, skill_id FROM fx x
+    WHERE NOT EXISTS (SELECT 1 FROM extracted_skills e WHERE e.job_id = x.job_id AND e.run_id = 'run_lexical_00' AND e.method = 'lexical' AND e.canonical_skill_id = x.skill_id)""",
 )
-def lexical_skills(spark, sf_dir):
-    return extract.lexical_skills(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "skills"), "job_id", "requirements")
+def extraction_run(spark, sf_dir):
+    def lexical(texts, skills):
+        return extract.lexical_skills(texts, skills, "job_id", "text")
+
+    existing = table(spark, sf_dir, "extracted_skills").withColumnRenamed("canonical_skill_id", "skill_id")
+    return extract.extraction_run(_texts(spark, sf_dir), table(spark, sf_dir, "skills"), {"lexical": lexical}, existing, "run_lexical_00")
+
+
+@catalogue.add("page_fields")
+def page_fields(spark, sf_dir):
+    raw = table(spark, sf_dir, "extraction_results").select("job_id", "source_url", "job_description_raw").distinct()
+    return pages.with_page_fields(raw, "source_url", "job_description_raw").select("job_id", "fields.*")
+
+
+_HEAD = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(job_description_raw, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), '')".replace("\\\\", "\\")
+
+
+@catalogue.add("page_titles", f"SELECT DISTINCT job_id, {_HEAD} AS title FROM extraction_results WHERE trim(job_description_raw) <> '' AND {_HEAD} IS NOT NULL AND NOT contains({_HEAD}, '&')")
+def page_titles(spark, sf_dir):
+    raw = table(spark, sf_dir, "extraction_results").filter(F.trim("job_description_raw") != "").select("job_id", "source_url", "job_description_raw").distinct()
+    named = raw.filter(F.col("job_description_raw").rlike(r"(?is)<h1\b[^>]*>.*?</h1\s*>"))
+    read = pages.with_page_fields(named, "source_url", "job_description_raw", registry=(pages.GENERIC,))
+    return read.filter(~F.col("fields.title").contains("&")).select("job_id", "fields.title").distinct()
+
+
+_TITLE_CASE = "array_to_string(list_transform(string_split(lower(replace(trim({c}), '_', ' ')), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
 @catalogue.add(
     "normalised_skills",
     f"""WITH {_NAMES}, bn AS (SELECT regexp_replace(name, '[^a-z0-9]', '', 'g') AS b, min(s.canonical_name) AS c FROM nm JOIN skills s ON s.skill_id = nm.skill_id GROUP BY 1),
-    it AS (SELECT skill_name, count(*) AS n FROM extracted_skills GROUP BY 1)
-    SELECT it.skill_name, it.n, coalesce(s.canonical_name, bn.c) AS canonical, CASE WHEN s.canonical_name IS NOT NULL THEN 'alias' ELSE 'alias_without_signs' END AS rule
-    FROM it LEFT JOIN nm ON nm.name = lower(trim(it.skill_name)) LEFT JOIN skills s ON s.skill_id = nm.skill_id
-    LEFT JOIN bn ON bn.b = regexp_replace(lower(trim(it.skill_name)), '[^a-z0-9]', '', 'g') WHERE s.canonical_name IS NOT NULL OR bn.c IS NOT NULL""",
+    it AS (SELECT skill_name, count(*) AS n FROM (SELECT skill_name FROM extracted_skills UNION ALL SELECT work_mode FROM jobs UNION ALL SELECT title FROM ref_titles UNION ALL SELECT 'N/A') GROUP BY 1),
+    sa AS (SELECT *, CASE WHEN lower(trim(skill_name)) NOT IN ('', 'nan', 'none', 'nat', 'null', 'undefined', 'n/a', '-') THEN trim(skill_name) END AS said FROM it)
+    SELECT sa.skill_name, sa.n, CASE WHEN said IS NULL THEN NULL ELSE coalesce(s.canonical_name, bn.c, {_TITLE_CASE.format(c='said')}) END AS canonical,
+      CASE WHEN said IS NULL THEN 'placeholder' WHEN s.canonical_name IS NOT NULL THEN 'alias' WHEN bn.c IS NOT NULL THEN 'alias_without_signs' ELSE 'title_case' END AS rule
+    FROM sa LEFT JOIN nm ON nm.name = lower(said) LEFT JOIN skills s ON s.skill_id = nm.skill_id LEFT JOIN bn ON bn.b = regexp_replace(lower(said), '[^a-z0-9]', '', 'g')""",
 )
 def normalised_skills(spark, sf_dir):
-    items = table(spark, sf_dir, "extracted_skills").groupBy("skill_name").agg(F.count("*").alias("n"))
-    return extract.normalised_skills(items, table(spark, sf_dir, "skills"), "skill_name").filter(F.col("rule").startswith("alias"))
+    """Names as extracted, with work modes, titles and a placeholder, which no alias knows."""
+    spoken = table(spark, sf_dir, "extracted_skills").select("skill_name")
+    others = table(spark, sf_dir, "jobs").select("work_mode"), table(spark, sf_dir, "ref_titles").select("title"), spark.sql("SELECT 'N/A'")
+    items = reduce(lambda a, b: a.union(b), others, spoken).groupBy("skill_name").agg(F.count("*").alias("n"))
+    return extract.normalised_skills(items, table(spark, sf_dir, "skills"), "skill_name")
 
 
 @catalogue.add("nearest_centroids")
@@ -113,13 +159,13 @@ def skill_board(spark, sf_dir):
 
 @catalogue.add(
     "source_cube",
-    """SELECT source_platform, work_mode, classification_status, grouping_id(source_platform, work_mode, classification_status)::BIGINT AS level, count(*) AS jobs, approx_count_distinct(company_name) > 0 AS some
+    """SELECT source_platform, work_mode, classification_status, grouping_id(source_platform, work_mode, classification_status)::BIGINT AS level, count(*) AS jobs, count(DISTINCT company_name) AS firms
     FROM jobs GROUP BY CUBE (source_platform, work_mode, classification_status)""",
 )
 def source_cube(spark, sf_dir):
     keys = ("source_platform", "work_mode", "classification_status")
     return table(spark, sf_dir, "jobs").cube(*keys).agg(
-        F.grouping_id(*keys).alias("level"), F.count("*").alias("jobs"), (F.approx_count_distinct("company_name") > 0).alias("some")
+        F.grouping_id(*keys).alias("level"), F.count("*").alias("jobs"), F.countDistinct("company_name").alias("firms")
     )
 
 

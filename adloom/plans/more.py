@@ -74,7 +74,9 @@ def stack_support(spark, sf_dir):
 
 @catalogue.add(
     "recount_audit",
-    f"WITH {BASKETS} SELECT 'same' AS status, count(*) AS skills FROM f",
+    f"""WITH {BASKETS}, again AS (SELECT skill, count(DISTINCT job_id) AS b FROM m GROUP BY 1)
+    SELECT CASE WHEN f.skill IS NULL THEN 'missing' WHEN again.skill IS NULL THEN 'extra' WHEN f.jobs = again.b THEN 'same' ELSE 'differs' END AS status, count(*) AS skills
+    FROM f FULL JOIN again ON again.skill = f.skill GROUP BY 1""",
 )
 def recount_audit(spark, sf_dir):
     m = mentions(spark, sf_dir)

@@ -133,18 +133,6 @@ def best_threshold(spark, sf_dir):
     return evaluate.best_threshold(_sweep(spark, sf_dir))
 
 
-@catalogue.add(
-    "numeric_errors",
-    """SELECT salary_currency_normalized AS currency, count(*) AS n, round(avg(abs(salary_min_normalized - salary_max_normalized)), 4) AS mae,
-      round(quantile_cont(abs(salary_min_normalized - salary_max_normalized), 0.5), 4) AS median_error,
-      round(sqrt(avg((salary_min_normalized - salary_max_normalized) * (salary_min_normalized - salary_max_normalized))), 4) AS rmse
-    FROM jobs WHERE salary_min_normalized IS NOT NULL AND salary_max_normalized IS NOT NULL GROUP BY 1""",
-)
-def numeric_errors(spark, sf_dir):
-    jobs = table(spark, sf_dir, "jobs").withColumnRenamed("salary_currency_normalized", "currency")
-    return evaluate.numeric_errors(jobs, "salary_min_normalized", "salary_max_normalized", "currency")
-
-
 _AS_OF = "2025-09-01"
 
 
@@ -221,13 +209,18 @@ def duplicate_flags(spark, sf_dir):
 
 @catalogue.add(
     "failure_classes",
-    """SELECT kind, kind IN ('network', 'incomplete', 'unknown') AS again, count(*) AS n FROM (SELECT CASE WHEN contains(s, 'network') THEN 'network' WHEN contains(s, 'blocked') THEN 'blocked'
-      WHEN contains(s, 'parse') THEN 'parsing' WHEN contains(s, 'partial') THEN 'incomplete' WHEN s IN ('success', 'ok', 'completed') THEN 'none' ELSE 'unknown' END AS kind
-      FROM (SELECT lower(coalesce(extraction_status, '')) AS s FROM extraction_results)) GROUP BY 1, 2""",
+    """SELECT origin, kind, kind IN ('network', 'incomplete', 'unknown') AS again, count(*) AS n FROM (SELECT origin, CASE WHEN contains(s, 'network') OR contains(t, 'timeout') THEN 'network'
+      WHEN contains(s, 'blocked') OR contains(t, 'captcha') OR contains(t, 'forbidden') THEN 'blocked' WHEN contains(s, 'parse') OR contains(t, 'parse') THEN 'parsing'
+      WHEN contains(s, 'partial') THEN 'incomplete' WHEN s IN ('success', 'ok', 'completed') THEN 'none' ELSE 'unknown' END AS kind
+      FROM (SELECT 'record' AS origin, lower(coalesce(extraction_status, '')) AS s, lower(coalesce(description_type, '') || ' ' || coalesce(job_description_raw, '')) AS t FROM extraction_results
+        UNION ALL SELECT 'import', lower(coalesce(status, '')), lower(coalesce(notes, '')) FROM import_runs)) GROUP BY 1, 2, 3""",
 )
 def failure_classes(spark, sf_dir):
-    kind = quality.failure_class(F.col("extraction_status"), F.lit(""))
-    return table(spark, sf_dir, "extraction_results").select(kind.alias("kind")).groupBy("kind", quality.retryable(F.col("kind")).alias("again")).agg(F.count("*").alias("n"))
+    said = F.concat(F.coalesce("description_type", F.lit("")), F.lit(" "), F.coalesce("job_description_raw", F.lit("")))
+    raw = table(spark, sf_dir, "extraction_results").select(F.lit("record").alias("origin"), F.col("extraction_status").alias("s"), said.alias("t"))
+    runs = table(spark, sf_dir, "import_runs").select(F.lit("import").alias("origin"), F.col("status").alias("s"), F.col("notes").alias("t"))
+    kinds = raw.unionByName(runs).select("origin", quality.failure_class(F.col("s"), F.col("t")).alias("kind"))
+    return kinds.groupBy("origin", "kind", quality.retryable(F.col("kind")).alias("again")).agg(F.count("*").alias("n"))
 
 
 _STRONG = ["engineer", "developer", "architect", "analyst", "administrator", "tester", "devops", "programmer"]
@@ -337,7 +330,7 @@ def work_modes(spark, sf_dir):
 
 
 _LATEST = """lv AS (SELECT DISTINCT job_id, version_id, lower(trim(content_hash)) AS h, import_run_id, epoch_us(CAST(observed_at AS TIMESTAMPTZ)) AS t FROM job_versions WHERE trim(content_hash) <> ''),
-    la AS (SELECT job_id, arg_max(h, (t, version_id)) AS content_hash, arg_max(import_run_id, (t, version_id)) AS import_run_id, count(*) AS versions FROM lv GROUP BY 1)"""
+    la AS (SELECT job_id, arg_max(h, (t, version_id)) AS content_hash, arg_max(import_run_id, (t, version_id)) AS import_run_id, count(*) AS versions, max(t) AS last_observed FROM lv GROUP BY 1)"""
 
 
 @catalogue.add("latest_versions", f"WITH {_LATEST} SELECT * FROM la")
@@ -360,11 +353,12 @@ def import_actions(spark, sf_dir):
     "upserted_jobs",
     f"""WITH {_LATEST} SELECT coalesce(j.job_id, la.job_id) AS job_id,
       CASE WHEN la.job_id IS NOT NULL AND (j.job_id IS NULL OR lower(j.content_hash) IS DISTINCT FROM la.content_hash) THEN la.content_hash ELSE j.content_hash END AS content_hash,
-      greatest(j.seen, la.versions) AS seen FROM (SELECT job_id, content_hash, 0::BIGINT AS seen FROM jobs) j FULL JOIN la ON j.job_id = la.job_id""",
+      greatest(j.seen, la.last_observed) AS seen FROM (SELECT job_id, content_hash, epoch_us(TRY_CAST(last_seen_at AS TIMESTAMPTZ)) AS seen FROM jobs) j FULL JOIN la ON j.job_id = la.job_id""",
 )
 def upserted_jobs(spark, sf_dir):
-    incoming = store.latest_versions(table(spark, sf_dir, "job_versions")).select("job_id", "content_hash", F.col("versions").alias("seen"))
-    existing = table(spark, sf_dir, "jobs").select("job_id", "content_hash", F.lit(0).cast("long").alias("seen"))
+    incoming = store.latest_versions(table(spark, sf_dir, "job_versions")).select("job_id", "content_hash", F.col("last_observed").alias("seen"))
+    seen = F.unix_micros(F.try_to_timestamp("last_seen_at"))
+    existing = table(spark, sf_dir, "jobs").select("job_id", "content_hash", seen.alias("seen"))
     return store.upserted(existing, incoming, "job_id", "content_hash", "seen")
 
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adloom.session import _shared_folder
+from adloom.session import _file_system, _shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
@@ -60,6 +60,8 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """
     spark = stream.sparkSession
     root = os.path.join(_shared_folder(spark), f"adloom-stream-{uuid.uuid4().hex}")
+    fs, path = _file_system(spark, root)
+    fs.deleteOnExit(path)
     out, state = os.path.join(root, "out"), os.path.join(root, "state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
@@ -70,24 +72,51 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upserted_stream(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key, kept as a table that every micro-batch merges into.
-
-    A batch writes the next version of the table beside the present one, named
-    by the batch, so a batch that is run again after a failure gives the same.
+def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, str]:
+    """The newest finished path of every bucket of an upserted table, of versions before ``below``."""
+    fs, _ = _file_system(spark, folder)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path
+    done = [str(s.getPath().getParent().toString()) for s in fs.globStatus(pattern(f"{folder}/v*/_SUCCESS")) or []]
+    numbered = sorted((int(p.rsplit("/v", 1)[1]), p) for p in done)
+    newest: dict[int, str] = {}
+    for number, path in numbered:
+        if below is None or number < below:
+            for s in fs.globStatus(pattern(f"{path}/_bucket=*")) or []:
+                own = str(s.getPath().toString())
+                newest[int(own.rsplit("=", 1)[1])] = own
+    return newest
+
+
+def upserted_stream(stream: DataFrame, key: str, order: list[str], folder: str | None = None, buckets: int = 16) -> DataFrame:
+    """The last row of each key, kept as a table in ``folder`` that every micro-batch merges into.
+
+    The table is split into ``buckets`` by a hash of the key; a batch rewrites
+    the buckets it has keys of, as the next version beside the present one and
+    named by the batch. What is present is read from the folder, so a stream
+    that is started again with the same folder goes on where it stopped, and a
+    batch that is run again after a failure gives the same. Rows without a key
+    are left out. Without a folder the table lives as long as the application.
     """
     spark = stream.sparkSession
-    root = os.path.join(_shared_folder(spark), f"adloom-upsert-{uuid.uuid4().hex}")
-    done: list[int] = []
+    if folder is None:
+        folder = os.path.join(_shared_folder(spark), f"adloom-upsert-{uuid.uuid4().hex}")
+        fs, path = _file_system(spark, folder)
+        fs.deleteOnExit(path)
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = [n for n in done if n < number]
-        rows = batch.unionByName(spark.read.schema(stream.schema).parquet(f"{root}/v{before[-1]}")) if before else batch
+        rows = batch.filter(F.col(key).isNotNull())
+        # As many values as there are buckets at most.
+        touched = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]
+        present = _versions(spark, folder, number)
+        old = [present[b] for b in touched if b in present]
+        if old:
+            rows = rows.unionByName(spark.read.schema(stream.schema).parquet(*old))
         own = F.struct(*(F.col(c) for c in rows.columns))
-        last = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(own, F.struct(*order)).alias("_v")).select("_v.*")
-        last.write.mode("overwrite").parquet(f"{root}/v{number}")
-        done.append(number)
+        last = rows.groupBy(key).agg(F.max_by(own, F.struct(*order)).alias("_v")).select("_v.*")
+        last.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/v{number}")
 
-    query = stream.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(merge).start()
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], stream.schema)
+    paths = sorted(_versions(spark, folder).values())
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
