@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adloom.functions import text as tx
@@ -277,25 +278,42 @@ def validation_full(spark, sf_dir):
     )
 
 
+_STATUSES, _TYPES = ("success", "partial", "failed", "excluded"), ("html_text", "image", "hybrid", "missing", "jsonld")
+_FIELDS = (
+    "posted_date_raw", "closing_date_raw", "company_raw", "location_raw", "requirements_raw", "salary_text_raw", "skills_raw", "job_description_raw",
+    "country_raw", "source_job_id",
+)
 _METRICS = {
-    "records": (F.lit(True), "true"),
-    **{f"status_{s}": (F.col("extraction_status") == s, f"extraction_status = '{s}'") for s in ("success", "partial", "failed", "excluded")},
-    **{f"type_{s}": (F.col("description_type") == s, f"description_type = '{s}'") for s in ("html_text", "image", "hybrid", "missing", "jsonld")},
-    **{f"missing_{c}": (F.coalesce(F.trim(c) == "", F.lit(True)), _blank(c)) for c in (
-        "posted_date_raw", "closing_date_raw", "company_raw", "location_raw", "requirements_raw", "salary_text_raw", "skills_raw", "job_description_raw", "country_raw", "source_job_id")},
-    "with_pay": (F.col("salary_text_raw").rlike("[0-9]"), "regexp_matches(salary_text_raw, '[0-9]')"),
-    "with_text": ((F.length(F.trim("job_description_raw")) >= 30) & (F.col("description_type") != "missing"), "length(trim(job_description_raw)) >= 30 AND description_type <> 'missing'"),
-    "with_skills": (F.length(F.trim("skills_raw")) > 2, "length(trim(skills_raw)) > 2"),
-}
+    "records": "true",
+    **{f"status_{s}": f"extraction_status = '{s}'" for s in _STATUSES},
+    **{f"type_{s}": f"description_type = '{s}'" for s in _TYPES},
+    **{f"missing_{c}": _blank(c) for c in _FIELDS},
+    "with_pay": "regexp_matches(salary_text_raw, '[0-9]')",
+    "with_text": "length(trim(job_description_raw)) >= 30 AND description_type <> 'missing'",
+    "with_skills": "length(trim(skills_raw)) > 2",
+}
+
+
+def _metrics() -> list[Column]:
+    """The conditions of the metrics, in the same order."""
+    return [
+        F.lit(True),
+        *(F.col("extraction_status") == s for s in _STATUSES),
+        *(F.col("description_type") == s for s in _TYPES),
+        *(F.coalesce(F.trim(c) == "", F.lit(True)) for c in _FIELDS),
+        F.col("salary_text_raw").rlike("[0-9]"),
+        (F.length(F.trim("job_description_raw")) >= 30) & (F.col("description_type") != "missing"),
+        F.length(F.trim("skills_raw")) > 2,
+    ]
 
 
 @catalogue.add(
     "validation_metrics",
-    f"""WITH c AS (SELECT {', '.join(f'count(*) FILTER (WHERE {q}) AS m{k}' for k, (_, q) in enumerate(_METRICS.values()))} FROM extraction_results)
+    f"""WITH c AS (SELECT {', '.join(f'count(*) FILTER (WHERE {q}) AS m{k}' for k, q in enumerate(_METRICS.values()))} FROM extraction_results)
     SELECT unnest([{', '.join(f"'{n}'" for n in _METRICS)}]) AS metric, unnest([{', '.join(f'm{k}' for k in range(len(_METRICS)))}]) AS n, unnest([{', '.join(f'round(m{k} * 100.0::DOUBLE / m0, 2)' for k in range(len(_METRICS)))}]) AS pct FROM c""",
 )
 def validation_metrics(spark, sf_dir):
-    counts = table(spark, sf_dir, "extraction_results").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"m{k}") for k, (c, _) in enumerate(_METRICS.values())))
+    counts = table(spark, sf_dir, "extraction_results").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"m{k}") for k, c in enumerate(_metrics())))
     each = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"m{k}").alias("n"), F.round(F.col(f"m{k}") * 100.0 / F.col("m0"), 2).alias("pct")) for k, n in enumerate(_METRICS)))
     return counts.select(F.explode(each).alias("_m")).select("_m.*")
 

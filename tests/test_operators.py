@@ -14,18 +14,19 @@ from adloom.operators import basket, extract, facts, quality, roles, store, temp
 from adloom.plans import quality_store
 from adloom.sources import files
 
-JOBS_4 = [
-    ("1", ["Python", "Django", "PostgreSQL"]),
-    ("2", ["Python", "Django", "Docker"]),
-    ("3", ["Python", "React", "Docker"]),
-    ("4", ["Java", "Spring Boot", "PostgreSQL"]),
-]
+TRAYS = {
+    "t1": "tea cup spoon",
+    "t2": "tea cup",
+    "t3": "tea cup pot",
+    "t4": "ink pen pot",
+    "t5": "ink pen",
+}
 
 
 @pytest.fixture(scope="module")
-def four(spark):
-    rows = [(j, s) for j, skills in JOBS_4 for s in skills]
-    return facts.baskets(spark.createDataFrame(rows + rows[:3], "job_id string, skill string").distinct())
+def trays(spark):
+    rows = [(t, item) for t, items in TRAYS.items() for item in items.split()]
+    return facts.baskets(spark.createDataFrame(rows * 2, "job_id string, skill string").distinct())
 
 
 @pytest.fixture(scope="module")
@@ -33,17 +34,17 @@ def none(spark):
     return facts.baskets(spark.createDataFrame([], "job_id string, skill string"))
 
 
-def test_matrix(four):
-    m = {(r.skill_a, r.skill_b): r.jobs for r in basket.cooccurrence_matrix(four).collect()}
-    assert m["Python", "Python"] == 3 and m["Django", "Python"] == m["Python", "Django"] == 2 and m["Python", "Java"] == 0
+def test_matrix(trays):
+    m = {(r.skill_a, r.skill_b): r.jobs for r in basket.cooccurrence_matrix(trays).collect()}
+    assert m["tea", "tea"] == 3 and m["cup", "tea"] == m["tea", "cup"] == 3 and m["ink", "tea"] == 0 and m["pot", "pot"] == 2
 
 
-def test_similarity(four):
-    j = {(r.skill_a, r.skill_b): r.jaccard for r in basket.jaccard(four).collect()}
-    assert j["Django", "Python"] == 0.666667 and j["Java", "Spring Boot"] == 1.0
-    p = {(r.skill_a, r.skill_b): r for r in basket.pmi(four).collect()}
-    assert p["Java", "Spring Boot"].pmi == 2.0 and p["Java", "Spring Boot"].npmi == 1.0
-    for r in basket.association_rules(four).collect():
+def test_similarity(trays):
+    j = {(r.skill_a, r.skill_b): r.jaccard for r in basket.jaccard(trays).collect()}
+    assert j["pot", "tea"] == 0.25 and j["ink", "pen"] == 1.0
+    p = {(r.skill_a, r.skill_b): r for r in basket.pmi(trays).collect()}
+    assert p["ink", "pen"].pmi == round(math.log2(2.5), 6) and p["ink", "pen"].npmi == 1.0
+    for r in basket.association_rules(trays).collect():
         pair = p[min(r.antecedent, r.consequent), max(r.antecedent, r.consequent)]
         assert math.isclose(r.lift, 2**pair.pmi, rel_tol=1e-5)
 
@@ -63,14 +64,15 @@ def test_components_and_centrality(spark):
 
 def test_distinctiveness(spark):
     rows = []
-    for role, skill, n, start in (("A", "python", 30, 0), ("A", None, 10, 30), ("B", "java", 30, 100), ("B", None, 10, 130)):
-        for i in range(start, start + n):
-            rows += [(f"{i}", role, "lexical", "git")] + ([(f"{i}", role, "lexical", skill)] if skill else [])
+    for role, own, with_it, without in (("north", "snow", 21, 14), ("south", "sand", 33, 12)):
+        for i in range(with_it + without):
+            job = f"{role}{i}"
+            rows += [(job, role, "lexical", "rain")] + ([(job, role, "lexical", own)] if i < with_it else [])
     t = roles.contingency(spark.createDataFrame(rows, "job_id string, role string, method string, skill string"))
     got = {(r.role, r.skill): r for r in roles.distinctiveness(t).collect()}
-    r = got["A", "python"]
-    assert (r.a, r.b, r.c, r.d) == (30, 10, 0, 40) and r.test == "chi_square" and r["rank"] == 1 and r.p_value < 0.05
-    assert got["A", "git"].test == "none" and got["A", "git"]["rank"] is None
+    r = got["north", "snow"]
+    assert (r.a, r.b, r.c, r.d) == (21, 14, 0, 45) and r.test == "chi_square" and r["rank"] == 1 and r.p_value < 0.05
+    assert got["north", "rain"].test == "none" and got["north", "rain"]["rank"] is None
 
 
 def test_bootstrap_tests_again(spark):
