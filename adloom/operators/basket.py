@@ -78,14 +78,15 @@ def jaccard(baskets: DataFrame) -> DataFrame:
     )
 
 
-def pmi(baskets: DataFrame, min_jobs: int = 1) -> DataFrame:
-    """PMI (base 2) and NPMI clipped to [-1, 1] of the pairs seen at least ``min_jobs`` times."""
+def pmi(baskets: DataFrame, min_jobs: int = 1, singles: bool = False) -> DataFrame:
+    """PMI (base 2) and NPMI clipped to [-1, 1] of the pairs seen at least ``min_jobs`` times; ``singles`` adds both single counts."""
     n = baskets.agg(F.sum("weight").cast("double")).scalar()
     p = _with_singles(pair_frequency(baskets).filter(F.col("jobs") >= min_jobs), baskets)
     score = F.log2(F.col("jobs") * n / (F.col("jobs_a") * F.col("jobs_b")))
     surprise = -F.log2(F.col("jobs") / n)
     npmi = F.when(surprise > 0, F.greatest(F.least(score / surprise, F.lit(1.0)), F.lit(-1.0))).when(score > 0, 1.0).otherwise(0.0)
-    return p.select("skill_a", "skill_b", "jobs", F.round(score, 6).alias("pmi"), F.round(npmi, 6).alias("npmi"))
+    more = ["jobs_a", "jobs_b"] if singles else []
+    return p.select("skill_a", "skill_b", "jobs", *more, F.round(score, 6).alias("pmi"), F.round(npmi, 6).alias("npmi"))
 
 
 def adaptive_support(baskets: DataFrame) -> Column:
@@ -158,9 +159,11 @@ def frequent_stacks(baskets: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), min_
 
 def relationship_table(baskets: DataFrame) -> DataFrame:
     """Pair counts with Jaccard, PMI, NPMI and strength = Jaccard * max(PMI, 0)."""
-    p = pmi(baskets)
+    # Only pairs that occur have a strength; the vocabulary's other pairs are never made.
+    shared = F.col("jobs") / (F.col("jobs_a") + F.col("jobs_b") - F.col("jobs"))
     return (
-        p.join(jaccard(baskets), ["skill_a", "skill_b"])
+        pmi(baskets, singles=True)
+        .withColumn("jaccard", F.round(shared, 6))
         .withColumn("strength", F.round(F.col("jaccard") * F.greatest("pmi", F.lit(0.0)), 6))
         .select("skill_a", "skill_b", "jobs", "jaccard", "pmi", "npmi", "strength")
     )

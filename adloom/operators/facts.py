@@ -84,6 +84,8 @@ def role_of(title: Column, text: Column, aliases: Column) -> Column:
     """The role whose longest alias stands in the title, else in the text, else ``unclassified``."""
 
     def first(c: Column) -> Column:
-        return F.get(F.filter(aliases, lambda a: F.lower(c).contains(a["alias"])), F.lit(0))["role"]
+        # The text in lower case is made once, as the only element of an array, and not for every alias.
+        told = F.transform(F.array(F.lower(c)), lambda t: F.get(F.filter(aliases, lambda a: t.contains(a["alias"])), F.lit(0))["role"])
+        return F.get(told, F.lit(0))
 
     return F.coalesce(first(title), first(text), F.lit(UNCLASSIFIED))

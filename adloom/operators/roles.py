@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.functions.stats import average_rank, erfc, yates_chi2
+from adloom.session import stored
 
 
 def role_skill_frequency(facts: DataFrame) -> DataFrame:
@@ -39,10 +40,12 @@ def role_skill_matrix(facts: DataFrame, roles: list[str]) -> DataFrame:
 
 def contingency(facts: DataFrame) -> DataFrame:
     """2x2 tables by ``(role, skill, method)``: a in role with skill, b in role without, c and d outside."""
-    in_role = facts.groupBy("role", "method").agg(F.countDistinct("job_id").alias("n_role"))
-    everywhere = facts.groupBy("method").agg(F.countDistinct("job_id").alias("n_all"))
-    with_skill = facts.groupBy("method", "skill").agg(F.countDistinct("job_id").alias("n_skill"))
-    cell = facts.groupBy("role", "method", "skill").agg(F.countDistinct("job_id").alias("a"))
+    # Four counts read the facts, which come from whole texts; they are worked out once.
+    own = stored(facts.select("job_id", "role", "method", "skill").distinct())
+    in_role = own.groupBy("role", "method").agg(F.countDistinct("job_id").alias("n_role"))
+    everywhere = own.groupBy("method").agg(F.countDistinct("job_id").alias("n_all"))
+    with_skill = own.groupBy("method", "skill").agg(F.countDistinct("job_id").alias("n_skill"))
+    cell = own.groupBy("role", "method", "skill").agg(F.count("*").alias("a"))
     t = cell.join(in_role, ["role", "method"]).join(with_skill, ["method", "skill"]).join(everywhere, "method")
     return t.select(
         "role", "method", "skill", "a",

@@ -23,7 +23,7 @@ def role_labels(spark, sf_dir):
     return jobs_in_markets(spark, sf_dir).select("job_id", "market", "role")
 
 
-_COLUMNS = ["data", "dev", "ops", "unclassified"]
+_COLUMNS = ["data", "dev", "qa", "ops", "lead", "sec", "design", "biz", "unclassified"]
 
 
 @catalogue.add(

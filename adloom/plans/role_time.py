@@ -32,17 +32,21 @@ def role_skill_frequency(spark, sf_dir):
     return roles.role_skill_frequency(role_facts(spark, sf_dir))
 
 
-_ROLES = ["data", "dev", "qa", "ops"]
+# The families of the title list, and what no title is in.
+_ROLES = ["data", "dev", "qa", "ops", "lead", "sec", "design", "biz", "unclassified"]
 
 
-@catalogue.add(
-    "role_skill_matrix",
-    f"""WITH {ROLE_FACTS}, c AS (SELECT skill, {", ".join(f"count(DISTINCT CASE WHEN role = '{r}' THEN job_id END) AS {r}" for r in _ROLES)}
-      FROM rf WHERE method = 'lexical' GROUP BY 1)
-    SELECT *, data + dev + qa + ops AS total, row_number() OVER (ORDER BY data + dev + qa + ops DESC, skill)::INTEGER AS position FROM c""",
-)
-def role_skill_matrix(spark, sf_dir):
-    return roles.role_skill_matrix(role_facts(spark, sf_dir).filter(F.col("method") == "lexical"), _ROLES)
+def _matrix(name: str, method: str) -> None:
+    total = " + ".join(_ROLES)
+    sql = f"""WITH {ROLE_FACTS}, c AS (SELECT skill, {", ".join(f"count(DISTINCT CASE WHEN role = '{r}' THEN job_id END) AS {r}" for r in _ROLES)}
+      FROM rf WHERE method = '{method}' GROUP BY 1)
+    SELECT *, {total} AS total, row_number() OVER (ORDER BY {total} DESC, skill)::INTEGER AS position FROM c"""
+    catalogue.add(name, sql)(lambda spark, sf_dir: roles.role_skill_matrix(role_facts(spark, sf_dir).filter(F.col("method") == method), _ROLES))
+
+
+_matrix("role_skill_matrix", "lexical")
+_matrix("role_skill_matrix_semantic", "semantic")
+_matrix("role_skill_matrix_both", "both")
 
 
 _TABLES = """nr AS (SELECT role, method, count(DISTINCT job_id) AS k FROM rf GROUP BY 1, 2), na AS (SELECT method, count(DISTINCT job_id) AS k FROM rf GROUP BY 1),

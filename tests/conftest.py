@@ -11,7 +11,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-SF = "/root/testdata/sf0.001"
+# Larger tables can be named for a longer run.
+SF = os.environ.get("ADLOOM_TEST_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
