@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import text as tx
-from adloom.functions.names import bound
+from adloom.functions.names import bound, fresh, ref
 from adloom.operators.quality import keep_first, rule_report
 
 # Patterns of descriptions that only stand for a missing one.
@@ -74,8 +74,8 @@ def written_date(c: Column) -> Column:
     )
 
 
-def posting_day(raw: Column, base: Column) -> tuple[Column, Column]:
-    """Day and method (``relative``, ``absolute``, ``failed``) of a posting date; months of 30 days count back from ``base``."""
+def counted_back(raw: Column, base: Column) -> Column:
+    """The day of a date counted back from ``base`` ("today", "3 days ago", "a week ago"), months of 30 days; null if it is not."""
     t = F.lower(F.trim(raw))
 
     def number(unit: str) -> Column:
@@ -88,11 +88,25 @@ def posting_day(raw: Column, base: Column) -> tuple[Column, Column]:
         .when(t.contains("week"), F.coalesce(number("week") * 7, F.when(t.contains("a week") | t.contains("one week"), 7)))
         .when(t.contains("month"), number("month") * 30)
     )
-    relative = F.date_sub(base, ago)
-    absolute = written_date(raw)
-    return F.coalesce(relative, absolute), (
-        F.when(relative.isNotNull(), "relative").when(absolute.isNotNull(), "absolute").otherwise("failed")
-    )
+    return F.date_sub(base, ago)
+
+
+def posting_day(raw: Column, base: Column) -> tuple[Column, Column]:
+    """Day and method (``relative``, ``absolute``, ``failed``) of a posting date."""
+    return _day_and_method(counted_back(raw, base), written_date(raw))
+
+
+def _day_and_method(relative: Column, absolute: Column) -> tuple[Column, Column]:
+    method = F.when(relative.isNotNull(), "relative").when(absolute.isNotNull(), "absolute").otherwise("failed")
+    return F.coalesce(relative, absolute), method
+
+
+def with_posting_day(df: DataFrame, raw: str, base: Column, day: str, method: str) -> DataFrame:
+    """``df`` with ``day`` and ``method`` of a date column; both ways to read it are worked out once, apart from each other."""
+    r, a = fresh(df, "_back"), fresh(df, "_written")
+    read = bound(bound(df, **{r: counted_back(ref(raw), base)}), **{a: written_date(ref(raw))})
+    found, how = _day_and_method(F.col(r), F.col(a))
+    return read.withColumns({day: found, method: how}).drop(r, a)
 
 
 def ago_instant(raw: Column, base: Column) -> Column:
@@ -131,10 +145,10 @@ def cleaned(records: DataFrame, as_of: str) -> DataFrame:
     records = bound(records, _base=F.try_to_timestamp("scraped_at"))
     base = F.col("_base")
     page = F.coalesce(tx.paragraphs(F.col("job_description_raw")), F.lit(""))
-    posted, method = posting_day(F.col("posted_date_raw"), F.to_date(base))
-    closing, _ = posting_day(F.col("closing_date_raw"), F.to_date(base))
-    # Long expressions that several columns read, each worked out once.
-    t = bound(records, _page=page, _posted=posted, _closing=closing, _method=method).select(
+    records = with_posting_day(records, "posted_date_raw", F.to_date(base), "_posted", "_method")
+    records = with_posting_day(records, "closing_date_raw", F.to_date(base), "_closing", "_unused")
+    # A long expression that several columns read, worked out once.
+    t = bound(records, _page=page).select(
         *(F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ("job_id", "source_job_id", "source_url", "source_platform", "collection_batch_id", "description_type", "extraction_status")),
         F.coalesce(tx.clean_html(F.col("job_title_raw")), F.lit("")).alias("title"),
         F.coalesce(tx.clean_html(F.col("company_raw")), F.lit("")).alias("company"),

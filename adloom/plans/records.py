@@ -150,8 +150,8 @@ def team_table(spark, sf_dir):
 def posting_days(spark, sf_dir):
     raw = table(spark, sf_dir, "extraction_results")
     long = raw.withColumn("_b", F.to_date(F.try_to_timestamp("scraped_at"))).unpivot(["job_id", "_b"], ["posted_date_raw", "closing_date_raw"], "field", "_v")
-    day, method = records.posting_day(F.col("_v"), F.col("_b"))
-    return long.filter(F.col("_v").isNotNull()).select("job_id", "field", day.alias("day"), method.alias("method")).distinct()
+    read = records.with_posting_day(long.filter(F.col("_v").isNotNull()), "_v", F.col("_b"), "day", "method")
+    return read.select("job_id", "field", "day", "method").distinct()
 
 
 _AGO = r"(?i)^\s*(\d{1,5})\s*(minutes?|mins?|hours?|hrs?|hr|h|days?|d|weeks?|wks?|w|months?|mon|mos?|m|years?|yrs?|y)\s+ago\s*$"
