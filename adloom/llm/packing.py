@@ -1,10 +1,10 @@
 """Filling containers of fixed capacity with texts, by conflict-constrained best fit.
 
 Items are spread evenly over groups of bounded size by a hash of their id; each
-group is packed on its own, largest items first. A bin knows its residual and
-carries bitmaps of the sources and duplicate clusters it holds. An item goes
+group is packed on its own, largest items first. Bitmaps over the bins of a
+group tell those of every residual, source and duplicate cluster. An item goes
 into the tightest bin that holds no copy of it; among equally tight bins one
-without the item's source is preferred.
+without the item's source is taken wherever there is one.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from adloom.llm.tokens import token_counts
 
 #: Mean number of texts packed together. A group leaves about one bin unfilled.
 GROUP_ITEMS = 20_000
-#: Equally tight bins looked at for one without the item's source.
-LOOK = 8
 
 
 def best_fit(
@@ -41,17 +39,16 @@ def best_fit(
     items = [x if times[x[4]] > 1 else (*x[:4], None) for x in items]
     ordered = sorted(items, key=lambda x: (-x[2], str(x[4]), str(x[0]), x[1]))
     needed = max(1, math.ceil(sum(x[2] for x in ordered) / capacity))
-    source_bits: dict[object, int] = {}
-    cluster_bits: dict[object, int] = {}
     residual: list[int] = []
-    sources: list[int] = []
-    clusters: list[int] = []
-    stacks: dict[int, list[int]] = {}
-    filled = 0  # bit r is set where a bin with residual r can be found in stacks
+    # Bit b of a bitmap stands for bin b: those that hold the source, those that hold a copy, those with a residual.
+    with_source: dict[object, int] = {}
+    with_copy: dict[tuple[object, int], int] = {}
+    level: dict[int, int] = {}
+    filled = 0  # bit r is set where level has bins with residual r
 
     def shelve(b: int) -> None:
         nonlocal filled
-        stacks.setdefault(residual[b], []).append(b)
+        level[residual[b]] = level.get(residual[b], 0) | 1 << b
         filled |= 1 << residual[b]
 
     out: list[tuple[object, int, int, int]] = []
@@ -65,47 +62,32 @@ def best_fit(
             aside.clear()
         copies = copies + 1 if key == running and cluster is not None else 1
         running = key
-        s_bit = 1 << source_bits.setdefault(source, len(source_bits))
         lap = (cluster, (copies - 1) // needed)
-        c_bit = 0 if cluster is None else 1 << cluster_bits.setdefault(lap, len(cluster_bits))
-        chosen, at = -1, -1
+        same = 0 if cluster is None else with_copy.get(lap, 0)
+        chosen = -1
         r = size
         while chosen < 0:
             above = filled >> r
             if not above:
                 break
             r += (above & -above).bit_length() - 1
-            stack = stacks[r]
-            fallback = -1
-            for k in range(len(stack) - 1, -1, -1):
-                b = stack[k]
-                if c_bit and clusters[b] & c_bit:
-                    continue
-                if fallback < 0:
-                    fallback = k
-                if not sources[b] & s_bit:
-                    fallback = k
-                    break
-                if len(stack) - k >= LOOK:
-                    break
-            if fallback >= 0:
-                chosen, at = stack[fallback], fallback
+            free = level[r] & ~same
+            if free:
+                chosen = (free & ~with_source.get(source, 0) or free).bit_length() - 1
             else:
                 r += 1
         if chosen < 0:
             chosen = len(residual)
             residual.append(capacity)
-            sources.append(0)
-            clusters.append(0)
         else:
-            stack = stacks[r]
-            stack.pop(at)
-            if not stack:
-                del stacks[r]
-                filled &= ~(1 << r)
+            level[r] ^= 1 << chosen
+            if not level[r]:
+                del level[r]
+                filled ^= 1 << r
         residual[chosen] -= size
-        sources[chosen] |= s_bit
-        clusters[chosen] |= c_bit
+        with_source[source] = with_source.get(source, 0) | 1 << chosen
+        if cluster is not None:
+            with_copy[lap] = same | 1 << chosen
         if cluster is None:
             shelve(chosen)
         else:

@@ -301,6 +301,32 @@ def test_best_fit_leaves_little_space_unused():
     assert max(n for (b, c), n in pairs.items() if c >= 100) == 1
 
 
+def test_best_fit_finds_a_bin_without_the_source_among_any_number():
+    # Thirty equally tight bins, the first of which alone lacks source "a".
+    rows = [(0, 0, 6, "b", None), *((i, 0, 6, "a", None) for i in range(1, 30)), (99, 0, 4, "a", None)]
+    at = {i: b for i, _, _, b in packing.best_fit(rows, 10)}
+    assert at[99] == at[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 1, 9, 20, 33]), st.integers(0, 3), st.integers(0, 40)), min_size=60, max_size=200))
+def test_best_fit_against_all_bins(items):
+    rows = {i: (i, 0, size, s, c if c < 20 and size else None) for i, (size, s, c) in enumerate(items)}
+    needed = max(1, -(-sum(r[2] for r in rows.values()) // 64))
+    times = Counter(r[4] for r in rows.values())
+    # Only clusters that fit apart: larger ones may share.
+    rows = {i: r if times[r[4]] <= needed else (*r[:4], None) for i, r in rows.items()}
+    bins = {}
+    for i, _, size, b in packing.best_fit(list(rows.values()), 64):
+        source, copies = rows[i][3], rows[i][4]
+        left = {k: 64 - sum(r[2] for r in held) for k, held in bins.items() if copies is None or all(r[4] != copies for r in held)}
+        tight = min((x for x in left.values() if x >= size), default=None)
+        best = [k for k, x in left.items() if x == tight]
+        best = [k for k in best if all(r[3] != source for r in bins[k])] or best
+        assert b in best if best else b not in bins
+        bins.setdefault(b, []).append(rows[i])
+
+
 def test_packed(spark):
     rows = [(i, "word " * (i % 40), "s") for i in range(300)] + [(900, "word " * 3000, "s"), (901, None, None), (902, "", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
